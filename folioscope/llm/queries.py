@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import ogg
+from folioscope.llm import bpe, ogg
 from folioscope.session import table
 
 QUERIES = {}
@@ -25,3 +26,10 @@ def query(name: str, sql: str | None = None):
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text stored as an Ogg file, read back and described."""
     return ogg.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text encoded by the rank file and decoded again."""
+    definition = bpe.tokenizer_json_of_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), definition)
