@@ -130,11 +130,23 @@ class Encoder:
         pool = self.pool
         if len(new):
             whole = raw.tobytes()
-            texts = [whole[s:e].decode("utf-8", "replace") for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
+            # pieces that start with a space end at a match's end whatever comes before: they are one text for the library
+            alone = raw[starts[where[new]]] != 32
+            new = np.concatenate([new[alone], new[~alone]])
+            s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
+            k = int(alone.sum())
+            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(s[:k], e[:k], strict=True)]
             found = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
-            count[new] = np.fromiter(map(len, found), np.int64, len(found))
+            count[new[:k]] = np.fromiter(map(len, found), np.int64, k)
+            joined = b"".join([whole[a:b] for a, b in zip(s[k:], e[k:], strict=True)])
+            spaced = np.array(self.library.encode(joined.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
+            if int(self.token_sizes[spaced].sum()) != len(joined):
+                raise ValueError("a text is not valid UTF-8")
+            stops = np.searchsorted(np.cumsum(self.token_sizes[spaced]), np.cumsum((ends - starts)[where[new[k:]]])) + 1
+            count[new[k:]] = np.diff(stops, prepend=0)
             begin[new] = len(pool) + np.concatenate([[0], np.cumsum(count[new])[:-1]])
-            pool = np.concatenate([pool, np.fromiter((i for ids in found for i in ids), np.uint32, int(count[new].sum()))])
+            pool = np.concatenate([pool, np.fromiter((i for ids in found for i in ids), np.uint32), spaced])
+            new = np.sort(new)
         counts = count[inverse]
         tokens = np.concatenate([[0], np.cumsum(counts)])
         ids = pool[np.repeat(begin[inverse] - tokens[:-1], counts) + np.arange(tokens[-1])]

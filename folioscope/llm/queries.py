@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, ogg
+from folioscope.llm import bpe, ogg, packing
 from folioscope.session import table
 
 QUERIES = {}
@@ -33,3 +33,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text encoded by the rank file and decoded again."""
     definition = bpe.tokenizer_json_of_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), definition)
+
+
+@query("op6_shortest_pack_first")
+def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 ids."""
+    definition = bpe.tokenizer_json_of_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_documents(table(spark, sf_dir, "documents"), definition)
