@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, ogg, packing
+from folioscope.llm import bpe, ogg, packing, secrets, sharding
 from folioscope.session import table
 
 QUERIES = {}
@@ -40,3 +41,27 @@ def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     definition = bpe.tokenizer_json_of_file(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.packed_documents(table(spark, sf_dir, "documents"), definition)
+
+
+@query("op10_secret_guess_cost")
+def op10_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each whole text: fixed patterns and values that are costly to guess."""
+    words = secrets.word_costs(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), words, with_text=False)
+    base = F.filter("secrets", lambda s: s["kind"] != "guess")
+    return found.select(
+        "doc_id",
+        *(F.size(secrets.of_kind("secrets", k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+        F.array_max(F.transform("secrets", lambda s: s["cost"])).alias("max_cost"),
+    )
+
+
+@query("op8_hypergeometric_shards")
+def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards, a uniform shuffle with shard sizes at most one apart."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = sharding.shuffled_shards(docs, text="text_crc32")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
