@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, ogg, packing, secrets, sharding
+from folioscope.llm.workspace import written
 from folioscope.session import table
 
 QUERIES = {}
@@ -63,5 +64,5 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, a uniform shuffle with shard sizes at most one apart."""
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sharding.shuffled_shards(docs, text="text_crc32")
+    placed = sharding.shuffled_shards(written(docs, "sizes"), text="text_crc32")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -14,6 +14,8 @@ like a computed column is replaced. All else follows from ``seed``.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +65,8 @@ def shuffled_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shar
             rows[r["p"]] = r["n"]
     matrix = communication_matrix(rows, shards, seed)
     # 16,384 rows of as many ends as shards at most
-    ends = spark.createDataFrame([(i, np.cumsum(matrix[i]).tolist()) for i in range(parts)], "_part int, _ends array<bigint>")
+    listed = F.from_json(F.lit(json.dumps(np.cumsum(matrix, axis=1).tolist())), "array<array<bigint>>")
+    ends = spark.range(1).select(F.posexplode(listed).alias("_part", "_ends"))
     local = Window.partitionBy("_part").orderBy(_hash(F.lit(seed + 1), key, text), key, text)
     cut = (
         source.withColumn("_part", F.pmod(first, F.lit(parts)).cast("int"))
