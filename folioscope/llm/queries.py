@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, ogg, packing, secrets, sharding
+from folioscope.llm import bpe, merkle, ogg, packing, secrets, sharding
 from folioscope.llm.workspace import written
 from folioscope.session import table
 
@@ -66,3 +66,9 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = sharding.shuffled_shards(written(docs, "sizes"), text="text_crc32")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_merkle_fingerprints")
+def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text's fingerprint beside those of its edited text and of the next document."""
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
