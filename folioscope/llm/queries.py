@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, merkle, ogg, packing, secrets, sharding
+from folioscope.llm import bpe, merkle, ogg, packing, quality, secrets, sharding
 from folioscope.llm.workspace import written
 from folioscope.session import table
 
@@ -72,3 +72,11 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text's fingerprint beside those of its edited text and of the next document."""
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_nb_svm_quality")
+def op3_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text's quality score by a model of the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.classifier(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
