@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, merkle, ogg, packing, quality, secrets, sharding
+from folioscope.llm import bpe, jaccard, merkle, ogg, packing, quality, secrets, sharding
 from folioscope.llm.workspace import written
 from folioscope.session import table
 
@@ -80,3 +80,9 @@ def op3_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.classifier(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class and number of links at 5-word Jaccard similarity 0.8."""
+    return jaccard.near_classes(table(spark, sf_dir, "documents"))
