@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 LEAF, SMALL_LEAF, SMALL = 32, 8, 320
 #: Documents that a range of ids should have at most, and the fewest and most ranges.
-RANGE_ROWS, FEWEST, MOST = 4000, 64, 4096
+RANGE_ROWS, FEWEST, MOST = 1000, 64, 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -121,11 +121,11 @@ def differing(a: Column, b: Column) -> Column:
     return F.when(a["root"] == b["root"], F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(let(theirs, lambda k: let(paragraphs, lambda p: of(k, p))))
 
 
-def with_next(df: DataFrame, key: str, order: list[str], carried: dict[str, str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, order: list[str], derived: dict[str, Column], carried: dict[str, str]) -> DataFrame:
     """Adds columns of the row after each row by ascending numeric ``key`` (after the last: the first).
 
     Ids are cut into ranges of about equal counts; the first row of each range also stands behind the last of the range before.
-    carried: column -> name of its successor's value.
+    derived: columns to add before, computed once for each row; carried: column -> name of its successor's value.
     """
     spark = df.sparkSession
     ids = df.select(F.col(key).cast("double").alias("k"))
@@ -143,6 +143,7 @@ def with_next(df: DataFrame, key: str, order: list[str], carried: dict[str, str]
     behind = df.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("_head"))).select(*df.columns, F.col("_to").alias("_range"), F.lit(True).alias("_behind"))
     rows = dealt.withColumn("_behind", F.lit(False)).unionByName(behind)
     w = Window.partitionBy("_range").orderBy("_behind", F.col(key).asc_nulls_first(), *order)
+    rows = rows.withColumns(derived)
     return rows.select("*", *(F.lead(c).over(w).alias(n) for c, n in carried.items())).filter(~F.col("_behind")).drop("_range", "_behind")
 
 
@@ -150,8 +151,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """Each document's fingerprint beside that of its edited text, whose last quarter is the next document's beginning."""
     made = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     keep = [c for c in docs.columns if c.lower() not in made and c != text]
-    marked = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text")).withColumn("fingerprint", text_fingerprint(F.col("_text")))
-    follows = with_next(marked, doc_id, ["_text"], {"_text": "_next_text", "fingerprint": "_next"})
+    marked = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
+    follows = with_next(marked, doc_id, ["_text"], {"fingerprint": text_fingerprint(F.col("_text"))}, {"_text": "_next_text", "fingerprint": "_next"})
     n = F.char_length("_text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - quarter), F.substring(F.col("_next_text"), F.lit(1), quarter))
