@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, jaccard, merkle, ogg, packing, quality, secrets, sharding
+from folioscope.llm import bpe, jaccard, merkle, ogg, packing, quality, secrets, sharding, suffixes
 from folioscope.llm.workspace import written
 from folioscope.session import table
 
@@ -86,3 +86,10 @@ def op3_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links at 5-word Jaccard similarity 0.8."""
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sparse_suffixes")
+def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of at least 50 words that occur elsewhere, and what of them later copies lose."""
+    found = suffixes.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("spans").alias("n_spans"), "spans", "removed")
