@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, jaccard, merkle, ogg, packing, quality, secrets, sharding, suffixes
+from folioscope.llm import bpe, jaccard, merkle, ogg, packing, quality, secrets, sharding, suffixes, warc
 from folioscope.llm.workspace import written
 from folioscope.session import table
 
@@ -93,3 +93,25 @@ def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages of at least 50 words that occur elsewhere, and what of them later copies lose."""
     found = suffixes.repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("spans").alias("n_spans"), "spans", "removed")
+
+
+@query(
+    "op5_warc_transactions",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS s FROM pages),
+    g AS (SELECT s, max(page_id) AS top FROM p GROUP BY s)
+    SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(p.s, 5 * (k // 4) + 1, 5)) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+    FROM p JOIN g ON p.s = g.s""",
+)
+def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's capture, from archives that were written and read back."""
+    found = warc.page_captures(table(spark, sf_dir, "pages"))
+    revisit = F.col("response.type") == "revisit"
+    return found.select(
+        "page_id",
+        F.col("original_bytes").alias("payload_bytes"),
+        F.col("response.digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.when(revisit, F.col("original_page")).alias("refers_to"),
+    )
