@@ -1,41 +1,6 @@
-"""Registered queries (name -> callable) and their DuckDB twins (name -> SQL)."""
+"""All queries of the reference's operators, by family."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from folioscope.session import table
-
-QUERIES = {}
-ORACLE_SQL = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return keep
-
-
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-
-
-@query(
-    "redact_email_report",
-    rf"""SELECT source, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '{EMAIL}'))) AS BIGINT) AS emails,
-    CAST(sum(CAST(regexp_matches(text, '[0-9]{{8,}}') AS INT)) AS BIGINT) AS with_digit_run,
-    CAST(sum(CAST(length(text) >= 250 AS INT)) AS BIGINT) AS usable
-    FROM documents GROUP BY source""",
-)
-def redact_email_report(spark, sf_dir):
-    """Per source: documents, redacted emails, digit-run hits, documents of usable length."""
-    d = table(spark, sf_dir, "documents").select("source", "text")
-    return d.groupBy("source").agg(
-        F.count("*").alias("docs"),
-        F.sum(F.regexp_count("text", F.lit(EMAIL))).cast("long").alias("emails"),
-        F.sum(F.col("text").rlike("[0-9]{8,}").cast("int")).alias("with_digit_run"),
-        F.sum((F.length("text") >= 250).cast("int")).alias("usable"),
-    )
+from folioscope.plans import joins, ordered, python_backed, summaries, texts, validators  # noqa: F401
+from folioscope.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
