@@ -6,7 +6,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, jaccard, packing, quality, secrets, suffixes
@@ -27,20 +27,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = jaccard.near_classes(docs, with_key=True)
     # of rows alike in id and words one stays, too
     stay = found.filter("k1 is null or doc_id <=> class_id").select("doc_id", "k1", "k2").distinct()
-    keyed = jaccard.with_keys(docs)
-    keys = ["doc_id", "k1", "k2"]
-    on = [keyed[k].eqNullSafe(stay[k]) for k in keys]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    keyed, back = _keyed(docs)
+    on = [F.col(a).eqNullSafe(stay[b]) for a, b in (("_id", "doc_id"), ("_k1", "k1"), ("_k2", "k2"))]
+    nth = F.row_number().over(Window.partitionBy("_id", "_k1", "_k2").orderBy(F.lit(0)))
     kept = keyed.join(stay, on, "left_semi")
-    return kept.withColumn("_nth", nth).filter("_nth = 1 or k1 is null").select(*docs.columns)
+    return kept.withColumn("_nth", nth).filter("_nth = 1 or _k1 is null").select(*back)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 50 or more words that occur earlier in the corpus."""
-    found = suffixes.repeats(docs).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), "removed")
-    keyed = jaccard.with_keys(docs)
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")), "left")
-    return _with_text(joined.withColumn("text", suffixes.cut_out(F.col("text"), F.col("removed"))), docs.columns)
+    found = suffixes.repeats(docs).filter(F.size("removed") > 0)
+    keyed, back = _keyed(docs)
+    joined = keyed.join(found, F.col("_id").eqNullSafe(found["doc_id"]) & (F.col("_k1") == found["k1"]), "left")
+    text = f"_c{docs.columns.index('text')}"
+    return _with_text(joined.withColumn(text, suffixes.cut_out(F.col(text), F.col("removed"))).select(*back), docs.columns)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Documents under names that clash with none, with _id and the hashes of their words; and the columns to go back."""
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    inner = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    keyed = jaccard.with_keys(inner, names["text"]).withColumnsRenamed({"k1": "_k1", "k2": "_k2"}).withColumn("_id", F.col(names["doc_id"]))
+    return keyed, [F.col(n).alias(c) for c, n in names.items()]
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
