@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, jaccard, merkle, ogg, packing, quality, secrets, sharding, suffixes, warc
+from folioscope.llm import bpe, jaccard, merkle, ogg, oracles, packing, quality, secrets, sharding, suffixes, warc
 from folioscope.llm.workspace import written
 from folioscope.session import table
 
@@ -69,7 +69,7 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op9_merkle_fingerprints")
+@query("op9_merkle_fingerprints", oracles.merkle(merkle.LEAF, merkle.SMALL_LEAF, merkle.SMALL))
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text's fingerprint beside those of its edited text and of the next document."""
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -83,17 +83,19 @@ def op3_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-@query("op1_ngram_jaccard")
+@query("op1_ngram_jaccard", oracles.NGRAM_JACCARD)
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links at 5-word Jaccard similarity 0.8."""
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
 
 
-@query("op7_sparse_suffixes")
+@query("op7_sparse_suffixes", oracles.SPARSE_SUFFIXES)
 def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with passages of at least 50 words that occur elsewhere, and what of them later copies lose."""
+    """Documents with passages of at least 50 words that occur elsewhere, their spans, and how much of them dedup takes."""
     found = suffixes.repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("spans").alias("n_spans"), "spans", "removed")
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.size("spans").alias("n_spans"), listed.alias("spans"), lost.alias("removed_chars"))
 
 
 @query(
