@@ -82,10 +82,11 @@ def minimisers(words: Words, length: int = LENGTH, window: int = WINDOW, gram: i
 
 
 def suffixes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The kept suffixes of (doc_id, text) rows: doc_id, k1 (hash of the words), prefix, around, pos and chars.
+    """The kept suffixes of (doc_id, text) rows: doc_id, k1 (hash of the words), prefix, around, pos, chars and times.
 
     pos packs the first window's word number, how far the suffix lies behind it, and how many windows follow; chars the first
-    and last code point of all these windows.
+    and last code point of all these windows. A text that repeats itself may have a suffix with the same surroundings many times:
+    the first has their number as times; the windows of the others are later occurrences, and stand as spans without a prefix.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     ahead = length - window + 1
@@ -95,18 +96,45 @@ def suffixes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram:
             for rows, raw, offs in text_slices(batch, "text"):
                 words = Words(raw, offs)
                 place, low, high = minimisers(words, length, window, gram)
-                row = words.row[low] if len(low) else low
-                begin = words.first[:-1][row] if len(low) else low
-                around = words.runs(low, high + length) * np.uint64(3) + (place - low).astype(np.uint64)
+                if not len(low):
+                    continue
+                row = words.row[low]
                 k1 = word_keys(words.hashes, words.first)[0]
-                pos = (low - begin) << 16 | (place - low) << 8 | (high - low)
-                chars = words.begin[low] << 32 | words.stop[high + length - 1] if len(low) else low
+                around = mix(words.runs(low, high + length) * np.uint64(3) + (place - low).astype(np.uint64)).view(np.int64)
+                prefix = words.runs(place, place + ahead).view(np.int64)
+                first, times, again = _first_of_each(row, prefix, around)
+                pos = (low - words.first[:-1][row]) << 16 | (place - low) << 8 | (high - low)
+                begin, stop = words.begin[low], words.stop[high + length - 1]
+                a, b = _joined(row[again], begin[again], stop[again])
+                at = np.concatenate([first, again[a]])
+                none = np.arange(len(at)) >= len(first)
+                chars = np.concatenate([begin[first] << 32 | stop[first], begin[again[a]] << 32 | stop[again[b]]])
+                weight = np.concatenate([times, np.ones(len(a), np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(rows.schema.get_field_index("doc_id")).take(pa.array(row)), pa.array(k1[row]), pa.array(words.runs(place, place + ahead).view(np.int64)), pa.array(mix(around).view(np.int64)), pa.array(pos), pa.array(chars)],
-                    names=["doc_id", "k1", "prefix", "around", "pos", "chars"],
+                    [rows.column(rows.schema.get_field_index("doc_id")).take(pa.array(row[at])), pa.array(k1[row[at]]), pa.array(prefix[at], mask=none), pa.array(around[at], mask=none), pa.array(pos[at], mask=none), pa.array(chars), pa.array(weight)],
+                    names=["doc_id", "k1", "prefix", "around", "pos", "chars", "times"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, k1 long, prefix long, around long, pos long, chars long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, k1 long, prefix long, around long, pos long, chars long, times long")
+
+
+def _first_of_each(row: np.ndarray, prefix: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the first of each key of a row, how often the key occurs in the row, places of all others)."""
+    order = np.lexsort((np.arange(len(row)), around, prefix, row))
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[order[1:]] != row[order[:-1]]) | (prefix[order[1:]] != prefix[order[:-1]]) | (around[order[1:]] != around[order[:-1]])
+    lead = np.flatnonzero(new)
+    return order[lead], np.diff(np.append(lead, len(row))), np.sort(order[~new])
+
+
+def _joined(row: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) places of runs of spans of a row that overlap; spans are in order."""
+    if not len(row):
+        return row, row
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (begin[1:] > stop[:-1])
+    lead = np.flatnonzero(new)
+    return lead, np.append(lead[1:] - 1, len(row) - 1)
 
 
 def windows(held: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -142,11 +170,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kept = written(suffixes(source, length, window, gram), "suffixes")
     # sides of joins that come from an aggregate are written, so that joins are of plain shuffles and hot keys can be split
-    near = kept.groupBy("prefix").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).filter("n > 1")
+    near = kept.filter("prefix is not null").groupBy("prefix").agg(F.sum("times").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).filter("n > 1")
     near = written(near.select("prefix", (F.col("a") != F.col("b")).alias("mixed")), "prefixes")
     found = written(kept.join(near, "prefix"), "matches")
     place = F.struct("doc_id", "k1", "pos")
-    same = written(found.groupBy("prefix", "around").agg(F.count("*").alias("n"), F.min(place).alias("first")), "surroundings")
+    same = written(found.groupBy("prefix", "around").agg(F.sum("times").alias("n"), F.min(place).alias("first")), "surroundings")
     judged = found.join(same, ["prefix", "around"]).withColumn("leads", place.eqNullSafe(F.col("first"))).filter("n > 1 or mixed")
     whole = judged.filter("not leads or not mixed").select("doc_id", "k1", "chars", "leads")
     # only the first suffix of each surrounding is looked at window by window
@@ -159,7 +187,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     twice = written(single.groupBy("w").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first <> last").drop("last"), "repeated-windows")
     each = single.join(twice, "w", "left").filter("several or first is not null")
     part = each.select("doc_id", "k1", "chars", (F.col("first").isNull() | spot.eqNullSafe(F.col("first"))).alias("leads"))
-    return merged(whole.unionByName(part))
+    again = kept.filter("prefix is null").select("doc_id", "k1", "chars", F.lit(False).alias("leads"))
+    return merged(whole.unionByName(part).unionByName(again))
 
 
 def _union(spans: np.ndarray) -> np.ndarray:
