@@ -25,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the least id; documents without words stay."""
     found = jaccard.near_classes(docs, with_key=True)
-    # of rows alike in id and words one stays, too
-    stay = found.filter("k1 is null or doc_id <=> class_id").select("doc_id", "k1", "k2").distinct()
+    # of rows alike in id and words one stays, too; dealt anew, so that the join before can split a class of many copies
+    stay = found.filter("k1 is null or doc_id <=> class_id").select("doc_id", "k1", "k2").repartition("doc_id").distinct()
     keyed, back = _keyed(docs)
     on = [F.col(a).eqNullSafe(stay[b]) for a, b in (("_id", "doc_id"), ("_k1", "k1"), ("_k2", "k2"))]
     nth = F.row_number().over(Window.partitionBy("_id", "_k1", "_k2").orderBy(F.lit(0)))
