@@ -95,7 +95,7 @@ class Model:
 
 def log_count_ratios(features: np.ndarray, first: np.ndarray, label: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     """log of (smoothed share of a feature among class 1's indicators over that among class 0's)."""
-    own = np.repeat(label, np.diff(first))
+    own = np.repeat(label.astype(np.int8), np.diff(first))
     counts = [smoothing + np.bincount(features[own == c], minlength=FEATURES) for c in (1, 0)]
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
@@ -194,11 +194,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: s
 
     kept = found.select("_id", "_text", "_label").mapInArrow(run, "id string, label int, features binary").toArrow()
     # a repeated id may bring more rows than ids
-    kept = kept.sort_by([("id", "ascending")]).slice(0, rows) if kept.num_rows else kept
-    data = [x.as_py() for x in kept.column("features")]
-    features = np.frombuffer(b"".join(data), dtype=np.uint16)
-    first = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data])]).astype(np.int64)
-    return features, first, np.array(kept.column("label").to_pylist(), dtype=np.int64)
+    kept = kept.sort_by([("id", "ascending")]).slice(0, rows).combine_chunks()
+    if not kept.num_rows:
+        return np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    _, offsets, data = kept.column("features").chunk(0).buffers()
+    own = kept.column("features").chunk(0)
+    bounds = np.frombuffer(offsets, np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
+    features = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view(np.uint16)
+    return features, (bounds - bounds[0]) // 2, np.array(kept.column("label").to_pylist(), dtype=np.int64)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", with_text: bool = False) -> DataFrame:
