@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from folioscope.plans import decisions, joins, ordered, python_backed, summaries, texts, validators  # noqa: F401
+from folioscope.plans import datasets, decisions, joins, ordered, python_backed, summaries, texts, validators  # noqa: F401
 from folioscope.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -157,3 +157,24 @@ def test_pixels():
     assert pixels.skew_angle(wide) == 0 and pixels.skew_angle(np.full((5, 5), 255)) == 0
     assert (pixels.masked(page, [(0, 0, 5, 5)])[:5, :5] == 0).all() and page[0, 0] == 255
     assert pixels.runs(np.array([1, 1, 0, 1, 0, 0, 1], dtype=bool), 1) == [(0, 4), (6, 7)]
+
+
+def test_training_dataset(spark):
+    from folioscope.operators import datasets as D
+
+    schema = "source_id string, text string, image_sha256 string, split string"
+    made = D.source_records(spark.createDataFrame([("1", "a", "i1", "train"), ("2", "b", "i2", "validation"), ("3", "c", "i3", "validation"), ("4", "gold", "i4", "train")], schema), "synthetic", "m")
+    read = D.source_records(spark.createDataFrame([("5", "b", "i5", None), ("6", "d", "g1", None), ("7", "e", "i7", None)], schema), "silver", "r", validation_fraction=1.0)
+    gold = D.gold_dataset(spark.createDataFrame([("g", "gold", "g1", "approved", "7"), ("h", "zzz", "g2", "pending", "1")], "gold_id string, text string, image_sha256 string, review_status string, source_crop string"), "gd")
+    rows, out = D.training_dataset(made.unionByName(read), gold, "d")
+    assert {r["source_id"]: (r["split"], r["reassigned"]) for r in rows.collect()} == {"1": ("train", False), "2": ("validation", False), "3": ("validation", False), "5": ("validation", False)}
+    assert {r["source_id"]: r["reasons"] for r in out.collect()} == {"4": ["text_sha256"], "6": ["image_sha256"], "7": ["source_id"]}
+    assert D.leakage(rows, gold).count() == 0 and gold.count() == 1
+    assert D.charset_problems([" ", "a", "b"]) == [] and len(D.charset_problems(["a", "a", "ab", "é", "‏"])) == 5
+
+
+def test_merged_row_boxes(spark):
+    from folioscope.operators.datasets import merged_row_boxes
+
+    df = spark.createDataFrame([([(0, 0, 5, 9), (4, 3, 8, 5), (20, 0, 22, 1), (7, 0, 9, 1)],), ([],)], "b array<struct<top:int,left:int,bottom:int,right:int>>")
+    assert [[tuple(x) for x in r[0]] for r in df.select(merged_row_boxes(F.col("b"))).collect()] == [[(0, 0, 9, 9), (20, 0, 22, 1)], []]
