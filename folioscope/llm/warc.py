@@ -50,7 +50,7 @@ def _record(kind: str, record: Column, others: list[Column], lines: list[tuple[s
     return F.concat(head, F.lit("\r\n\r\n"), block)
 
 
-def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, compression: str = "none") -> None:
+def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, compression: str = "gzip") -> None:
     """Writes the archives of all pages as WARC files under ``path``."""
     html = F.coalesce(F.col(payload), F.lit(""))
     target = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\r\n]", "%0A")
@@ -163,7 +163,7 @@ def captures(found: DataFrame) -> DataFrame:
     return request.join(answer, "request_id", "left").join(about, "request_id", "left").select("request_id", "request", "response", "metadata")
 
 
-def page_captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, with_payload: bool = False, compression: str = "none") -> DataFrame:
+def page_captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, with_payload: bool = False, compression: str = "gzip") -> DataFrame:
     """Archives the pages, reads the archives back, and gives each page's capture with its page_id and original."""
     spark = pages.sparkSession
     path = folder(spark, "warc")
