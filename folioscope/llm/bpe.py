@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import WHITE, span_hashes, text_slices
 
-#: Pieces in a worker's cache before it starts anew, and the bytes up to which a piece is kept.
+#: Pieces in a worker's cache at most, bytes up to which pieces are told apart by the fast hash, and bytes that are encoded at once.
 CACHE_PIECES = 1 << 20
 PIECE_BYTES = 64
+SLICE_BYTES = 1 << 21
 
 # A piece may start with a plain space only before a byte that begins no white space: neither ASCII white space
 # and control separators nor a lead byte of the other Unicode spaces.
@@ -99,9 +100,6 @@ class Encoder:
         self.token_sizes = np.array([-1 if t is None else len(t) for t in table], dtype=np.int64)
         self.decimals = np.array([str(i) for i in range(size)], dtype=object)
         self.most = cache_pieces
-        self._forget()
-
-    def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
@@ -151,9 +149,8 @@ class Encoder:
         tokens = np.concatenate([[0], np.cumsum(counts)])
         ids = pool[np.repeat(begin[inverse] - tokens[:-1], counts) + np.arange(tokens[-1])]
         if len(new):
-            if len(self.keys) + len(new) > self.most:
-                self._forget()
-            else:
+            # a full cache stays as it is: frequent pieces come early
+            if len(self.keys) + len(new) <= self.most:
                 self.pool = pool
                 self.keys = np.insert(self.keys, at[new], unique[new])
                 self.begin = np.insert(self.begin, at[new], begin[new])
@@ -217,7 +214,7 @@ def encode_columns(df: DataFrame, definition: str, text: str = "text", with_text
     def run(batches):
         own = encoder(definition)
         for batch in batches:
-            for rows, raw, offs in text_slices(batch, text):
+            for rows, raw, offs in text_slices(batch, text, SLICE_BYTES):
                 ids, first = own.encode(raw, offs)
                 starts, ends = own.offsets(raw, offs, ids, first)
                 lists = {n: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v.astype(np.int32))) for n, v in zip(made, (ids, starts, ends), strict=True)}
@@ -251,7 +248,7 @@ def round_trip_digests(df: DataFrame, definition: str, text: str = "text") -> Da
     def run(batches):
         own = encoder(definition)
         for batch in batches:
-            for rows, raw, offs in text_slices(batch, text):
+            for rows, raw, offs in text_slices(batch, text, SLICE_BYTES):
                 ids, first = own.encode(raw, offs)
                 digests, decoded = [], []
                 for i in range(len(first) - 1):

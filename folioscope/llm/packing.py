@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import text_slices
-from folioscope.llm.bpe import encoder
+from folioscope.llm.bpe import SLICE_BYTES, encoder
 from folioscope.llm.workspace import written
 
 SIZE = 2048
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str =
     def run(batches):
         own = encoder(definition)
         for batch in batches:
-            for rows, raw, offs in text_slices(batch, "text"):
+            for rows, raw, offs in text_slices(batch, "text", SLICE_BYTES):
                 ids, first = own.encode(raw, offs)
                 n = len(first) - 1
                 ends = first[1:] + np.arange(1, n + 1)
