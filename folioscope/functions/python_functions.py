@@ -144,8 +144,11 @@ def ctc_text(path: list[int], characters: list[str], blank: int = 0) -> str:
     return "".join(characters[i - 1] for i in ids[keep])
 
 
+_OTHER = re.compile("[^\u0590-\u05FF]+")
+
+
 def _hebrew(x: str) -> str:
-    return "".join(c for c in x if "֐" <= c <= "׿")
+    return _OTHER.sub("", x)
 
 
 def fuzzy_markers(x: str | None, markers: tuple[str, ...] = LEASE_MARKERS) -> dict[str, str]:
@@ -153,6 +156,14 @@ def fuzzy_markers(x: str | None, markers: tuple[str, ...] = LEASE_MARKERS) -> di
     text = x or ""
     tokens = re.findall("[֐-׿]+(?:[\"'״׳][֐-׿]+)*", text)
     compact = _hebrew(text)
+    runs: dict[int, list[tuple[str, SequenceMatcher]]] = {}  # by the number of words
+
+    def of(k: int) -> list[tuple[str, SequenceMatcher]]:
+        if k not in runs:
+            joined = (" ".join(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
+            runs[k] = [(r, SequenceMatcher(None, "", _hebrew(r))) for r in joined]
+        return runs[k]
+
     found = {}
     for marker in markers:
         letters = _hebrew(marker)
@@ -168,16 +179,15 @@ def fuzzy_markers(x: str | None, markers: tuple[str, ...] = LEASE_MARKERS) -> di
             continue
         least = 0.80 if len(letters) <= 5 else 0.76
         n = max(1, len(marker.split()))
-        best, form = 0.0, ""
+        best, form = least - 1e-12, ""
         for k in sorted({max(1, n - 1), n, n + 1}):
-            for i in range(len(tokens) - k + 1):
-                run = " ".join(tokens[i : i + k])
-                other = _hebrew(run)
-                if abs(len(other) - len(letters)) <= max(2, len(letters) // 2):
-                    alike = SequenceMatcher(None, letters, other).ratio()
-                    if alike > best:
-                        best, form = alike, run
-        if best >= least:
+            for run, match in of(k):
+                if abs(len(match.b) - len(letters)) <= max(2, len(letters) // 2):
+                    match.set_seq1(letters)
+                    # the cheap upper bounds first
+                    if match.real_quick_ratio() > best and match.quick_ratio() > best and match.ratio() > best:
+                        best, form = match.ratio(), run
+        if form:
             found[marker] = form
     return found
 

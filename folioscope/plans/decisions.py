@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import decisions as D
+from folioscope.operators.quality import characters_in
 from folioscope.plans.registry import query
 from folioscope.session import table
 
@@ -70,7 +71,7 @@ def layout_classes(spark, sf_dir):
 def usefulness_scores(spark, sf_dir):
     i = F.col("doc_id")
     d = table(spark, sf_dir, "documents")
-    score = D.usefulness_score(i % 7, i % 5, F.regexp_count("text", F.lit("[à-ÿ]")), F.regexp_count("text", F.lit("[A-Za-z]")), (i % 11) / 10, i % 13, i % 20)
+    score = D.usefulness_score(i % 7, i % 5, characters_in(F.col("text"), "à-ÿ"), characters_in(F.col("text"), "A-Za-z"), (i % 11) / 10, i % 13, i % 20)
     return d.select("doc_id", score.alias("score"))
 
 
