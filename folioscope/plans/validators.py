@@ -70,7 +70,12 @@ def annotation_violations(spark, sf_dir):
     return R.annotation_violations(regions, ["A", "N"], ["open"]).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("answer_violations")
+@query(
+    "answer_violations",
+    """WITH a AS (SELECT doc_id AS i FROM documents WHERE doc_id % 17 <> 0) SELECT rule, count(*) AS n FROM (SELECT 'arity' AS rule FROM a WHERE i % 7 <> 0 AND i % 11 = 0
+    UNION ALL SELECT 'found_nothing_but_values' FROM a WHERE i % 3 = 0 AND i % 7 <> 0 UNION ALL SELECT 'no_evidence' FROM a WHERE i % 3 <> 0 AND i % 5 = 0 UNION ALL SELECT 'found_without_value' FROM a WHERE i % 3 <> 0 AND i % 7 = 0
+    UNION ALL SELECT 'unknown_block' FROM a WHERE i % 5 <> 0 AND i % 13 = 0 UNION ALL SELECT 'coverage' FROM documents WHERE doc_id % 17 = 0) GROUP BY rule""",
+)
 def answer_violations(spark, sf_dir):
     """Answers made from documents against as many questions, some broken in each way."""
     i = F.col("doc_id")
@@ -85,7 +90,13 @@ def answer_violations(spark, sf_dir):
     return R.answer_violations(answers, questions, blocks).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("evidence_claims")
+@query(
+    "evidence_claims",
+    """WITH d AS (SELECT doc_id, doc_id % 4 AS m, doc_id % 8 AS e, string_split(text, chr(10))[1] AS line, substr(text, 1, 40) AS head FROM documents)
+    SELECT doc_id, CASE WHEN m = 1 OR m = 3 OR (e = 0 AND NOT contains(line, '31337')) OR (m = 2 AND trim(regexp_replace(head, '\\s+', ' ', 'g')) = '') THEN 'drop' ELSE 'keep' END AS action,
+    CASE WHEN m = 1 THEN 'invalid_block' WHEN m = 3 OR (m = 2 AND trim(regexp_replace(head, '\\s+', ' ', 'g')) = '') THEN 'missing_evidence' WHEN e = 0 AND NOT contains(line, '31337') THEN 'numbers_not_supported' WHEN m = 2 THEN 'quote_fallback' END AS reason,
+    1 AS page, CAST(CASE WHEN m = 0 AND NOT (e = 0 AND NOT contains(line, '31337')) THEN length(line) WHEN m = 2 THEN length(head) ELSE 19 END AS INT) AS quote_length FROM d""",
+)
 def evidence_claims(spark, sf_dir):
     """Claims about documents' lines, by what becomes of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.lit(1)).alias("pages"))
