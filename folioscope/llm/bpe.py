@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from folioscope.llm.arrow_text import WHITE, span_hashes, text_slices
 
 #: Pieces in a worker's cache at most, bytes up to which pieces are told apart by the fast hash, and bytes that are encoded at once.
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 19
 PIECE_BYTES = 64
 SLICE_BYTES = 1 << 21
 
@@ -101,8 +101,8 @@ class Encoder:
         self.decimals = np.array([str(i) for i in range(size)], dtype=object)
         self.most = cache_pieces
         self.keys = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.begin = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,11 +150,11 @@ class Encoder:
         ids = pool[np.repeat(begin[inverse] - tokens[:-1], counts) + np.arange(tokens[-1])]
         if len(new):
             # a full cache stays as it is: frequent pieces come early
-            if len(self.keys) + len(new) <= self.most:
+            if len(self.keys) + len(new) <= self.most and len(pool) < 1 << 31:
                 self.pool = pool
                 self.keys = np.insert(self.keys, at[new], unique[new])
-                self.begin = np.insert(self.begin, at[new], begin[new])
-                self.count = np.insert(self.count, at[new], count[new])
+                self.begin = np.insert(self.begin, at[new], begin[new].astype(np.int32))
+                self.count = np.insert(self.count, at[new], count[new].astype(np.int32))
         return ids, tokens[np.searchsorted(bounds, offs)]
 
     def offsets(self, raw: np.ndarray, offs: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
