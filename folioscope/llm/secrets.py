@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a password guess-cost dynamic programme for values in credential contexts.
 
 A value's cost is the least sum of log10 guesses over its segmentations into words, dates, repeats, keyboard walks
-and brute-force spans. A value of at least ``MIN_VALUE`` characters that costs ``MIN_COST`` or more and lies outside
-the spans of the fixed patterns is a span of kind ``guess``.
+and brute-force spans. A value of at least ``MIN_VALUE`` characters that costs ``MIN_COST`` or more is a span of kind
+``guess``, unless one span of the fixed patterns contains all of it; it may overlap such spans.
 
 Defined results: offsets are code points, ends exclusive; a null or empty text has no spans; each row is scanned by
 itself, so repeated rows repeat their spans; very long values are segmented whole (the work grows with their length,
@@ -162,7 +162,7 @@ def spans(text: str, guess: GuessCost, min_value: int = MIN_VALUE, min_cost: flo
     taken = sorted((s, e) for _, s, e, _ in found)
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
-        if end - start >= min_value and not any(s < end and start < e for s, e in taken):
+        if end - start >= min_value and not any(s <= start and end <= e for s, e in taken):
             cost = guess.cost(m[1])
             if cost >= min_cost:
                 found.append(("guess", start, end, cost))

@@ -63,6 +63,14 @@ def test_redaction(documents, words):
     assert texts[24] == '[SECRET]" [SECRET]'
 
 
+def test_value_that_goes_on_behind_a_fixed_pattern(documents, words):
+    """The plain characters are a span of their own; the whole value is priced and redacted."""
+    text = "a password=abcdefgh!Xk9$wQ@7 b api_key=abcdefgh12345678 c"
+    (r,) = secrets.secret_spans(documents([(1, text)]), words).collect()
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in r["secrets"]] == [("assign", "password=abcdefgh"), ("guess", "abcdefgh!Xk9$wQ@7"), ("assign", "api_key=abcdefgh12345678")]
+    assert secrets.redacted(documents([(1, text)]), words).first()["text"] == "a [SECRET] b [SECRET] c"
+
+
 def test_cost_is_least(words):
     """Against all segmentations of short values, priced by the same parts."""
     small = secrets.GuessCost({"pass": 1.0, "word": 1.2, "sword": 1.1})
