@@ -27,8 +27,10 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
+_NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|(?:api|access|private|secret(?:[_-]?access)?)[_-]?key|client[_-]?secret|auth(?:orization)?|credentials?|login|bearer)[\"']?\x20*[:=]"
+#: Names may have a prefix that ends in other than a letter or digit; a scheme word before a value is not part of it.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|(?:api|access|private|secret)[_-]?key|client[_-]?secret|auth(?:orization)?|credentials?|login|bearer)["']?\x20*[:=]{1,2}\x20*["']?([^\s"'<>,;]+)""",
+    rf"""(?<![A-Za-z0-9]){_NAME}{{1,2}}\x20*["']?(?:(?:bearer|basic|token)\x20+(?!{_NAME}))?([^\s"'<>,;]+)""",
     re.I | re.A,
 )
 MIN_VALUE = 8
