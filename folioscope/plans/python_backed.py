@@ -71,10 +71,10 @@ def leave_one_source_out(spark, sf_dir):
 
 @query("page_lines")
 def page_lines(spark, sf_dir):
-    """Lines of small drawn pages, one for each document of a hundred."""
+    """Lines of small drawn pages, one for each document."""
     i = F.col("doc_id")
     bars = F.transform(F.sequence(F.lit(0), F.lit(40 * 30 - 1)), lambda p: F.when((F.floor(p / 40) % (4 + i % 5) >= 2) & (p % 40 >= i % 11) & (p % 40 < 30), 0).otherwise(255))
-    drawn = table(spark, sf_dir, "documents").filter(i % 100 == 0).select(i.cast("string").alias("page_id"), F.lit(40).alias("width"), F.lit(30).alias("height"), bars.alias("pixels"))
+    drawn = table(spark, sf_dir, "documents").select(i.cast("string").alias("page_id"), F.lit(40).alias("width"), F.lit(30).alias("height"), bars.alias("pixels"))
     return pixels.page_lines(drawn)
 
 
