@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 EPOCHS, RATE, PENALTY, TEMPERATURE = 400, 0.08, 1e-4, 0.5
 LEAST_DEVIATION = 1e-6
 # End of the fixed values.
+#: Rows that a fold's model is fitted to, about and at most; every row is scored.
+SAMPLE_ROWS = 16_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -61,27 +63,36 @@ def mil_fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = EPOCH
     return beta, bias
 
 
-def leave_one_out(df: DataFrame, fold: str, features: list[str], target: str, key: str) -> DataFrame:
-    """(fold, key, target, score): each fold's rows scored by a logistic model of all other folds.
+def leave_one_out(df: DataFrame, fold: str, features: list[str], target: str, key: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(fold, key, target, score): every row scored by a logistic model of other folds' rows.
 
-    Rows are sent to every fold's task, so this is for labelled sets of a bounded size.
+    A fold's model is fitted in one task to about ``sample_rows`` rows of the other folds at most, those with the smallest
+    hashes of their keys; up to that number it is fitted to all of them. Only the models (a few numbers for each fold) go to all tasks.
     """
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
-    kind = df.schema[fold].dataType.simpleString()
-    key_kind = df.schema[key].dataType.simpleString()
-    rows = df.select(fold, key, target, *features).withColumn("_fold", F.explode(F.array(*map(F.lit, folds))))
+    counts = {r[0]: r[1] for r in df.groupBy(fold).count().orderBy(fold).collect()}
+    total = sum(counts.values())
+    shares = [(k, name, min(1.0, sample_rows / max(total - n, 1))) for k, (name, n) in enumerate(counts.items())]
+    place = lambda name: F.col(fold).eqNullSafe(F.lit(name))
+    number = F.coalesce(*(F.when(place(name), F.lit(k)) for k, name, _ in shares), F.lit(-1))
+    fraction = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = df.filter(fraction < max((share for *_, share in shares), default=1.0)).select(key, fold, F.col(target).cast("double").alias("_y"), *features, fraction.alias("_at"))
+    taken = F.array_compact(F.array(*(F.when(~place(name) & (F.col("_at") < share), F.lit(k)) for k, name, share in shares)))
+    taught = rows.withColumn("_fold", F.explode(taken.cast("array<int>"))).select("_fold", key, "_y", *features)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        name = part["_fold"].iloc[0]
-        own = part[fold] == name
-        train, test = part[~own].sort_values(key), part[own].sort_values(key)
-        y = train[target].to_numpy(dtype=float)
-        if len(set(y)) < 2:
-            score = np.full(len(test), y.mean() if len(y) else 0.5)
-        else:
-            scale = Scaler(train[features].to_numpy(dtype=float))
-            beta, bias = logistic_fit(scale(train[features].to_numpy(dtype=float)), y)
-            score = _sigmoid(scale(test[features].to_numpy(dtype=float)) @ beta + bias)
-        return pd.DataFrame({"fold": name, "key": test[key].to_numpy(), "target": test[target].to_numpy(dtype="int64"), "score": score})
-
-    return rows.groupBy("_fold").applyInPandas(one, f"fold {kind}, key {key_kind}, target long, score double")
+        part = part.sort_values(key)
+        x, y = part[features].to_numpy(dtype=float), part["_y"].to_numpy()
+        scale = Scaler(x)
+        alike = len(set(y)) < 2
+        beta, bias = (np.zeros(x.shape[1]), 0.0) if alike else logistic_fit(scale(x), y)
+        return pd.DataFrame({"_fold": part["_fold"].iloc[:1].to_numpy(), "_mean": [scale.mean], "_scale": [scale.scale], "_beta": [beta], "_bias": [float(bias)], "_same": [float(y.mean()) if alike else None]})
+
+    models = taught.groupBy("_fold").applyInPandas(one, "_fold int, _mean array<double>, _scale array<double>, _beta array<double>, _bias double, _same double")
+    each = df.select(F.col(fold).alias("fold"), F.col(key).alias("key"), F.col(target).cast("long").alias("target"), number.alias("_fold"), *(F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(features)))
+    z = F.col("_bias")
+    for j in range(len(features)):
+        z = z + (F.col(f"_x{j}") - F.get("_mean", F.lit(j))) / F.get("_scale", F.lit(j)) * F.get("_beta", F.lit(j))
+    logistic = 1 / (1 + F.exp(-F.least(F.lit(40.0), F.greatest(F.lit(-40.0), z))))
+    # a fold without others has no model
+    score = F.when(F.col("_bias").isNull(), 0.5).otherwise(F.coalesce("_same", logistic))
+    return each.join(F.broadcast(models), "_fold", "left").select("fold", "key", "target", score.alias("score"))

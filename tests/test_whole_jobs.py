@@ -1,5 +1,12 @@
 """Queries without a SQL twin against plain versions, on small tables of our own: no row and no text is left out."""
 
+import math
+import re
+
+import numpy as np
+import pytest
+
+from folioscope.operators import learning
 from folioscope.plans.catalogue import QUERIES
 
 
@@ -24,3 +31,43 @@ def test_page_lines(spark, tmp_path):
     found = QUERIES["page_lines"](spark, str(tmp_path)).collect()
     wanted = [(str(i), f"{i}-L{k:04d}", k, *box) for i in ids for k, box in enumerate(lines_of(i), 1)]
     assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+def labelled(n):
+    """(doc_id, lang, text, quality) of n documents."""
+    draw = np.random.default_rng(5)
+    for i in range(n):
+        good = int(draw.integers(2))
+        yield i, ("en", "de", "fr")[i % 3], "ab c" * int(draw.integers(1, 9)) + "1!" * int(draw.integers(1, 9 - 4 * good)), good
+
+
+def by_fold(rows):
+    """Scores by models of all rows of the other folds: {key: score}."""
+    out = {}
+    for name in {r[1] for r in rows}:
+        train, own = [r for r in rows if r[1] != name], [r for r in rows if r[1] == name]
+        x = np.array([r[2:4] for r in train])
+        scale = learning.Scaler(x)
+        beta, bias = learning.logistic_fit(scale(x), np.array([r[4] for r in train], dtype=float))
+        out |= {r[0]: 1 / (1 + math.exp(-((np.array(r[2:4]) - scale.mean) / scale.scale @ beta + bias))) for r in own}
+    return out
+
+
+def test_leave_one_source_out(spark, tmp_path):
+    rows = list(labelled(2_100))
+    spark.createDataFrame([(i, lang, t, len(t)) for i, lang, t, _ in rows], "doc_id long, lang string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r["key"]: r for r in QUERIES["leave_one_source_out"](spark, str(tmp_path)).collect()}
+    wanted = by_fold([(i, lang, math.log1p(len(t)), len(re.findall("[^A-Za-zÀ-ÿ ]", t)) / len(t), y) for i, lang, t, y in rows])
+    assert len(found) == 2_100 and {k: (r["fold"], r["target"]) for k, r in found.items()} == {r[0]: (r[1], r[3]) for r in rows}
+    assert [found[k]["score"] for k in sorted(wanted)] == pytest.approx([wanted[k] for k in sorted(wanted)], abs=2e-6)
+
+
+def test_leave_one_out_samples_only_for_fitting(spark):
+    draw = np.random.default_rng(3)
+    rows = [(k, (None, "a", "b")[k % 3], float(a), float(b), int(a + b > 0)) for k, (a, b) in enumerate(draw.normal(size=(900, 2)))]
+    df = spark.createDataFrame(rows, "k long, f string, a double, b double, y int")
+    found = learning.leave_one_out(df, "f", ["a", "b"], "y", "k", sample_rows=100).collect()
+    assert sorted(r["key"] for r in found) == list(range(900)) and np.mean([(r["score"] > 0.5) == r["target"] for r in found]) > 0.9
+    alone = learning.leave_one_out(df.filter("f = 'a'"), "f", ["a", "b"], "y", "k").collect()
+    assert len(alone) == 300 and {r["score"] for r in alone} == {0.5}
