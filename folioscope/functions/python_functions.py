@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,10 @@ def word_similarity(expected: str | None, found: str | None) -> float:
     a, b = (expected or "").split(), (found or "").split()
     if not a and not b:
         return 1.0
+    longest, least = max(len(a), len(b)), min(len(a), len(b))
+    # equal ends cost nothing
+    tail = next((k for k in range(least) if a[-1 - k] != b[-1 - k]), least)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     row = np.arange(len(b) + 1)
     codes = {w: i for i, w in enumerate({*a, *b})}
     other = np.array([codes[w] for w in b], dtype=np.int64)
@@ -72,7 +76,7 @@ def word_similarity(expected: str | None, found: str | None) -> float:
         best = np.minimum(row[:-1] + (other != codes[w]), row[1:] + 1)
         # insertions run along the row: a running minimum of the costs less their place
         row = np.minimum.accumulate(np.concatenate([[i], best]) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
-    return float(1 - row[-1] / max(len(a), len(b)))
+    return float(1 - row[-1] / longest)
 
 
 def aligned(expected: str, found: str) -> list[tuple[str, str | None, str | None]]:
@@ -111,6 +115,72 @@ def character_class(c: str) -> str:
     return "punctuation_symbols" if unicodedata.category(c)[0] in "PS" else "other"
 
 
+CLASSES = ("hebrew", "digits", "latin", "space", "punctuation_symbols", "other")
+OPERATIONS = ("match", "substitution", "deletion", "insertion")
+_classes = np.full(0x110000, 255, dtype=np.uint8)  # filled as characters occur
+
+
+def _class_numbers(codes: np.ndarray) -> np.ndarray:
+    for c in np.unique(codes[_classes[codes] == 255]):
+        _classes[c] = CLASSES.index(character_class(chr(c)))
+    return _classes[codes]
+
+
+def edit_counts(a: np.ndarray, b: np.ndarray, long_a: np.ndarray, long_b: np.ndarray) -> np.ndarray:
+    """Counts (class, operation) of ``aligned`` over many short pairs at once: code points (place, pair), filled up below, and lengths."""
+    pairs = np.arange(a.shape[1])
+    cost = np.empty((len(a) + 1, len(b) + 1, len(pairs)), dtype=np.int16)
+    cost[0] = np.arange(len(b) + 1)[:, None]
+    for i in range(1, len(a) + 1):
+        cost[i, 0] = i
+        apart = a[i - 1] != b
+        for j in range(1, len(b) + 1):
+            cost[i, j] = np.minimum(np.minimum(cost[i - 1, j], cost[i, j - 1]) + 1, cost[i - 1, j - 1] + apart[j - 1])
+    i, j = long_a.copy(), long_b.copy()
+    counts = np.zeros(len(CLASSES) * len(OPERATIONS), dtype=np.int64)
+    while len(pairs):
+        go = (i > 0) | (j > 0)
+        i, j, pairs = i[go], j[go], pairs[go]
+        up, back = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        here, x, y = cost[i, j, pairs], a[up, pairs], b[back, pairs]
+        pair = (i > 0) & (j > 0) & (here == cost[up, back, pairs] + (x != y))
+        delete = ~pair & (i > 0) & (here == cost[up, j, pairs] + 1)
+        insert = ~pair & ~delete
+        operation = np.where(pair, x != y, np.where(delete, 2, 3))
+        counts += np.bincount(_class_numbers(np.where(insert, y, x)).astype(np.int64) * len(OPERATIONS) + operation, minlength=len(counts))
+        i, j = i - ~insert, j - ~delete
+    return counts.reshape(len(CLASSES), len(OPERATIONS))
+
+
+def slice_edit_counts(texts: list[str], size: int, shift: int, at_once: int = 2048) -> np.ndarray:
+    """``edit_counts`` of each run of ``size`` characters of each text (none left out) and the run that begins ``shift`` later."""
+    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for x in texts]
+    ends = np.cumsum([len(x) + size + shift for x in codes])
+    full = np.concatenate([y for x in codes for y in (x, np.zeros(size + shift, dtype=np.int64))] or [np.zeros(0, dtype=np.int64)])
+    starts = np.concatenate([np.arange(e - size - shift - len(x), e - size - shift, size) for x, e in zip(codes, ends, strict=True)] or [ends])
+    left = np.repeat(ends - size - shift, [-(-len(x) // size) for x in codes]) - starts
+    counts = np.zeros((len(CLASSES), len(OPERATIONS)), dtype=np.int64)
+    for k in range(0, len(starts), at_once):
+        own, rest = starts[k : k + at_once], left[k : k + at_once]
+        a, b = (full[own + np.arange(at, at + size)[:, None]] for at in (0, shift))
+        counts += edit_counts(a, b, np.clip(rest, 0, size), np.clip(rest - shift, 0, size))
+    return counts
+
+
+def slice_edits(df: DataFrame, text: str, size: int, shift: int, most: int = 1_000_000) -> DataFrame:
+    """(character_class, operation, n) of ``slice_edit_counts`` over all texts; about ``most`` characters at a time."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [x for x in batch[text] if x]
+            group = np.cumsum([len(x) for x in texts], dtype=np.int64) // most
+            counts = sum((slice_edit_counts([texts[k] for k in np.flatnonzero(group == g)], size, shift) for g in np.unique(group)), np.zeros((len(CLASSES), len(OPERATIONS)), dtype=np.int64))
+            yield pd.DataFrame([(CLASSES[c], OPERATIONS[o], int(counts[c, o])) for c, o in zip(*np.nonzero(counts), strict=True)], columns=["character_class", "operation", "n"])
+
+    found = df.select(text).mapInPandas(run, "character_class string, operation string, n long")
+    return found.groupBy("character_class", "operation").agg(F.sum("n").alias("n"))
+
+
 def _direction(c: str) -> str:
     return {"R": "rtl", "AL": "rtl", "L": "ltr", "EN": "ltr", "AN": "ltr"}.get(unicodedata.bidirectional(c), "")
 

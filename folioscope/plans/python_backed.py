@@ -34,20 +34,21 @@ def fuzzy_markers(spark, sf_dir):
 
 @query("alignment_slices")
 def alignment_slices(spark, sf_dir):
-    """Edits between two slices of each text, by class of character."""
-    edits = P.alignment(F.substring("text", 1, 60), F.substring("text", 4, 60))
-    each = table(spark, sf_dir, "documents").select(F.explode(edits).alias("e"))
-    return each.groupBy("e.character_class", "e.operation").agg(F.count("*").alias("n"))
+    """Edits between each 60 characters of each text and the 60 that begin 3 later, by class of character."""
+    return P.slice_edits(table(spark, sf_dir, "documents"), "text", 60, 3)
 
 
 @query("word_similarities")
 def word_similarities(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(P.word_likeness(F.substring("text", 1, 200), F.substring("text", 20, 200)), 6).alias("similarity"))
+    """Each text and the same text from its 20th character on."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(P.word_likeness("text", F.expr("substring(text, 20)")), 6).alias("similarity"))
 
 
 @query("logical_order")
 def logical_order(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", P.logical_order(F.concat(F.lit("(בא) "), F.substring("text", 1, 20))).alias("text"))
+    """Each line of each text, with a right-to-left word before it."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("doc_id", "line", P.logical_order(F.concat(F.lit("(בא) "), "text")).alias("text"))
 
 
 @query("quota_selection")

@@ -2,10 +2,12 @@
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from folioscope.functions import python_functions as Y
 from folioscope.operators import learning
 from folioscope.plans.catalogue import QUERIES
 
@@ -71,3 +73,45 @@ def test_leave_one_out_samples_only_for_fitting(spark):
     assert sorted(r["key"] for r in found) == list(range(900)) and np.mean([(r["score"] > 0.5) == r["target"] for r in found]) > 0.9
     alone = learning.leave_one_out(df.filter("f = 'a'"), "f", ["a", "b"], "y", "k").collect()
     assert len(alone) == 300 and {r["score"] for r in alone} == {0.5}
+
+
+#: Long texts of several lines, not all ASCII; lengths around whole slices.
+TEXTS = ["", "a", "é" * 3, *(("née אב 1. Ünï 😀 end\n" * 40)[k:n] for k, n in ((0, 59), (1, 61), (2, 65), (0, 123), (5, 700))), None]
+
+
+@pytest.fixture
+def texts(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_alignment_slices(spark, texts):
+    wanted = Counter()
+    for t in filter(None, TEXTS):
+        for k in range(0, len(t), 60):
+            wanted.update((Y.character_class(x if x is not None else y), op) for op, x, y in Y.aligned(t[k : k + 60], t[k + 3 : k + 63]))
+    assert {(r["character_class"], r["operation"]): r["n"] for r in QUERIES["alignment_slices"](spark, texts).collect()} == wanted
+
+
+def similarity(a, b):
+    """The plain table of edits."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
+
+
+def test_word_similarities(spark, texts):
+    found = {r["doc_id"]: r["similarity"] for r in QUERIES["word_similarities"](spark, texts).collect()}
+    assert found == pytest.approx({i: similarity((t or "").split(), (t or "")[19:].split()) for i, t in enumerate(TEXTS)}, abs=1e-6)
+    draw = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = (" ".join(draw.choice(list("xyz"), draw.integers(0, 7))) for _ in range(2))
+        assert Y.word_similarity(a, b) == pytest.approx(similarity(a.split(), b.split()))
+
+
+def test_logical_order(spark, texts):
+    found = {(r["doc_id"], r["line"]): r["text"] for r in QUERIES["logical_order"](spark, texts).collect()}
+    assert found == {(len(TEXTS) - 1, None): None} | {(i, k): Y.reordered("(בא) " + line) for i, t in enumerate(TEXTS) if t is not None for k, line in enumerate(t.split("\n"))}
