@@ -97,7 +97,7 @@ def polygon_areas(spark, sf_dir):
 @query("priority_spans")
 def priority_spans(spark, sf_dir):
     """Spans of three classes in each order; a class of higher priority wins an overlap."""
-    e = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 20")
+    e = table(spark, sf_dir, "lineitem")
     start = (F.col("l_partkey") % 40).cast("int")
     span = F.struct((F.col("l_suppkey") % 3).cast("int").alias("priority"), start.alias("start"), (start + 3 + F.col("l_linenumber")).alias("end"))
     grouped = e.groupBy("l_orderkey").agg(F.collect_list(span).alias("spans"))

@@ -115,3 +115,14 @@ def test_word_similarities(spark, texts):
 def test_logical_order(spark, texts):
     found = {(r["doc_id"], r["line"]): r["text"] for r in QUERIES["logical_order"](spark, texts).collect()}
     assert found == {(len(TEXTS) - 1, None): None} | {(i, k): Y.reordered("(בא) " + line) for i, t in enumerate(TEXTS) if t is not None for k, line in enumerate(t.split("\n"))}
+
+
+def test_priority_spans_of_long_orders(spark, tmp_path):
+    rows = [(1, n, n * 7, n * 5) for n in range(1, 26)] + [(2, 1, 3, 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = []
+    for _, start, end in sorted((s % 3, p % 40, p % 40 + 3 + n) for o, n, p, s in rows if o == 1):
+        if not any(a < end and start < b for a, b in kept):
+            kept.append((start, end))
+    found = {r["l_orderkey"]: (r["n"], r["kept"], r["starts"]) for r in QUERIES["priority_spans"](spark, str(tmp_path)).collect()}
+    assert found == {1: (25, len(kept), ",".join(str(a) for a, _ in kept)), 2: (1, 1, "3")}
