@@ -11,6 +11,8 @@ not its square). Extra columns stay; one named like a computed column is replace
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 
@@ -48,40 +50,94 @@ _DATE = [
     re.compile(r"(?P<y>19\d\d|20[0-4]\d)"),
 ]
 NOW = 2025
-LONGEST_WORD = 24
-LONGEST_UNIT = 12
+#: log10 of the guesses for a step of a walk that goes on in its direction; other steps cost as many as a key has neighbours.
+STRAIGHT = 0.1
+#: log10 of the guesses for where a brute-force span begins, so that it does not split what a pattern explains.
+BRUTE = 0.3
+#: Keys of a walk, characters of a repeat, and of a date at least; and characters of a date at most, which its forms have.
+LEAST_WALK, LEAST_REPEAT, LEAST_DATE, MOST_DATE = 4, 3, 4, 10
 
 
-def neighbours() -> dict[str, set[str]]:
-    """Keys beside each key: in its row, and the two nearest in the rows above and below."""
+def neighbours() -> dict[str, dict[str, tuple[int, int]]]:
+    """Keys beside each key, in its row and the two nearest in the rows above and below, with the direction to each."""
     where = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
-    near = {c: set() for c in where}
+    near: dict[str, dict[str, tuple[int, int]]] = {c: {} for c in where}
     for c, (r, k) in where.items():
         for other, (r2, k2) in where.items():
             if (r2 == r and abs(k2 - k) == 1) or (r2 == r + 1 and k2 in (k - 1, k) and r > 0) or (r2 == r + 1 == 1 and k2 in (k - 2, k - 1)):
-                near[c].add(other)
-                near[other].add(c)
+                near[c][other] = (r2 - r, k2 - k)
+                near[other][c] = (r - r2, k - k2)
     return near
 
 
-def word_costs(path: str, longest: int = LONGEST_WORD) -> dict[str, float]:
+def word_costs(path: str) -> dict[str, float]:
     """log10 of the rank of each alphabetic entry of a vocabulary file that is ordered by frequency."""
     found: dict[str, float] = {}
     for token, rank in sorted(read_ranks(path).items(), key=lambda x: x[1]):
         word = token.decode("utf-8", "ignore").strip().lower()
-        if 3 <= len(word) <= longest and word.isascii() and word.isalpha() and word not in found:
+        if len(word) >= 3 and word.isascii() and word.isalpha() and word not in found:
             found[word] = math.log10(rank + 2)
     return found
 
 
+def repetitions(value: str) -> list[tuple[int, int, int]]:
+    """(period, start, end) of each longest run of a unit that follows itself at least once; units are no repetitions themselves.
+
+    A run of period u holds two equal characters u apart at a multiple of u, so n/u places are looked at for each u.
+    """
+    n = len(value)
+    at = np.array([ord(c) for c in value], dtype=np.uint32)
+    found: list[tuple[int, int, int]] = []
+    for u in range(1, n // 2 + 1):
+        after = at[u::u]
+        hits = np.flatnonzero(at[::u][: len(after)] == after) * u
+        done = -1
+        for k in hits.tolist():
+            if k < done:
+                continue
+            # inside a run of a divisor of u the unit is a repetition itself
+            for p, a, b in found:
+                if u % p == 0 and a <= k and k + u < b:
+                    done = b - u
+                    break
+            else:
+                start, end = k, k + u
+                while start > 0 and value[start - 1] == value[start - 1 + u]:
+                    start -= 1
+                while end < n and value[end] == value[end - u]:
+                    end += 1
+                done = end - u
+                if end - start >= 2 * u:
+                    found.append((u, start, end))
+    return found
+
+
+def date_cost(value: str) -> float | None:
+    """log10 of the guesses for a date that is the whole value, by its cheapest form; None where it has none."""
+    costs = []
+    for form in _DATE:
+        m = form.fullmatch(value)
+        if m:
+            year = int(m["y"]) if len(m["y"]) == 4 else 2000 + int(m["y"])
+            plain = form is _DATE[-1]
+            costs.append(math.log10((1 if plain else 365) * max(20, abs(NOW - year)) * (1 if plain or not m["s"] else 4)))
+    return min(costs, default=None)
+
+
 class GuessCost:
-    """The dynamic programme over a value, for one word list."""
+    """The dynamic programme over a value, for one word list.
+
+    A word costs its rank and the choice of its capitals; a date its days, years and separators; a walk its first key and each
+    step; a brute-force span its start and each character's kind. A repeat goes on with units equal to the one before it and
+    costs log10 of how many such units the value can hold. The cost is the least over all segmentations.
+    """
 
     def __init__(self, words: dict[str, float]):
         self.words = words
         self.longest = max(map(len, words), default=0)
         self.near = neighbours()
-        self.degree = sum(map(len, self.near.values())) / len(self.near)
+        self.first = math.log10(len(self.near))
+        self.turn = math.log10(sum(map(len, self.near.values())) / len(self.near))
 
     @staticmethod
     def _brute(c: str) -> float:
@@ -99,58 +155,71 @@ class GuessCost:
 
     def segments(self, value: str) -> tuple[float, list[tuple[str, int, int]]]:
         """(least cost, its segmentation as (kind, start, end)); among equal costs the first found."""
-        n, low = len(value), value.lower()
+        n = len(value)
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
         keys = low.translate(SHIFTED)
-        best = [0.0] + [math.inf] * n
-        back: list[tuple[str, int]] = [("", 0)] * (n + 1)
-
-        def offer(kind: str, start: int, end: int, cost: float) -> None:
-            if best[start] + cost < best[end] - 1e-12:
-                best[end], back[end] = best[start] + cost, (kind, start)
-
-        walk_end = 0
-        for i in range(n):
-            # a brute-force span has a price to begin with, so that it does not split what a pattern explains
-            offer("brute", i, i + 1, self._brute(value[i]) + (0.0 if back[i][0] == "brute" else 0.3))
-            if low[i].isascii() and low[i].isalpha():
-                for j in range(i + 3, min(n, i + self.longest) + 1):
-                    cost = self.words.get(low[i:j])
-                    if cost is not None:
-                        offer("word", i, j, cost + self._case(value[i:j]))
-            if value[i].isdigit():
-                for form in _DATE:
-                    m = form.match(value, i, min(n, i + 10))
-                    if m:
-                        year = int(m["y"]) if len(m["y"]) == 4 else 2000 + int(m["y"])
-                        days = 1 if form is _DATE[-1] else 365
-                        apart = 1 if form is _DATE[-1] or not m["s"] else 4
-                        offer("date", i, m.end(), math.log10(days * max(20, abs(NOW - year)) * apart))
-            for unit in range(1, min(LONGEST_UNIT, (n - i) // 2) + 1):
-                if value[i : i + unit] != value[i + unit : i + 2 * unit] or (i >= unit and value[i - unit : i] == value[i : i + unit]):
-                    continue  # only a run's first unit starts it
-                j = i + 2 * unit
-                while value[j : j + unit] == value[i : i + unit]:
-                    j += unit
-                if j - i >= 3:
-                    own = self.cost(value[i : i + unit]) if unit > 2 else sum(map(self._brute, value[i : i + unit]))
-                    offer("repeat", i, j, own + math.log10((j - i) // unit))
-            if i >= walk_end and i + 1 < n:
-                j, turns, last = i + 1, 1, None
-                while j < n and keys[j] in self.near.get(keys[j - 1], ()):
-                    step = ord(keys[j]) - ord(keys[j - 1])
-                    turns, last, j = turns + (last is not None and step != last), step, j + 1
-                if j - i >= 4:
-                    walk_end = j
-                    offer("walk", i, j, math.log10(len(self.near) * (j - i)) + turns * math.log10(self.degree))
+        # the least cost of each prefix by its last part: any (best) or a brute-force span (loose)
+        best: list[tuple[float, str, int]] = [(0.0, "", 0)] + [(math.inf, "", 0)] * n
+        loose: list[tuple[float, int]] = [(math.inf, 0)] * (n + 1)
+        starts: dict[int, list[int]] = {}
+        for k, (u, a, _) in enumerate(runs := repetitions(value)):
+            starts.setdefault(a + 2 * u, []).append(k)
+        open_runs: list[int] = []
+        copies: dict[tuple[int, int], tuple[float, int]] = {}
+        walk: list[tuple[float, int]] = [(math.inf, 0)] * (LEAST_WALK + 1)
+        way = None
+
+        def offer(end: int, cost: float, kind: str, start: int) -> None:
+            if cost < best[end][0]:
+                best[end] = (cost, kind, start)
+
+        self._from(value, low, 0, 0.0, offer)
+        for j in range(1, n + 1):
+            # words and dates that end here were offered where they start
+            c, base = value[j - 1], best[j - 1][0]
+            loose[j] = min((loose[j - 1][0] + self._brute(c), loose[j - 1][1]), (base + BRUTE + self._brute(c), j - 1))
+            offer(j, loose[j][0], "brute", loose[j][1])
+            before, way = way, self.near.get(keys[j - 2], {}).get(keys[j - 1]) if j > 1 else None
+            if way:
+                step = STRAIGHT if way == before else self.turn
+                long = min(walk[LEAST_WALK - 1], walk[LEAST_WALK])
+                walk = [walk[0], walk[0], (walk[1][0] + self.turn, walk[1][1]), *((w[0] + step, w[1]) for w in walk[2 : LEAST_WALK - 1]), (long[0] + step, long[1])]
+            else:
+                walk = [(math.inf, 0)] * (LEAST_WALK + 1)
+            walk[1] = (base + self.first, j - 1) if keys[j - 1] in self.near else (math.inf, 0)
+            if walk[LEAST_WALK][0] < math.inf:
+                offer(j, walk[LEAST_WALK][0], "walk", walk[LEAST_WALK][1])
+            open_runs = [k for k in open_runs if runs[k][2] >= j] + starts.get(j, [])
+            for k in open_runs:
+                u = runs[k][0]
+                own = (best[j - u][0] + math.log10(n // u), j - u)
+                longer = copies.get((k, j - u), (math.inf, 0))
+                copies[k, j] = min(own, longer)
+                if 3 * u >= LEAST_REPEAT:
+                    offer(j, longer[0], "repeat", longer[1])
+                if 2 * u >= LEAST_REPEAT:
+                    offer(j, own[0], "repeat", own[1])
+            self._from(value, low, j, best[j][0], offer)
         cuts, at = [], n
         while at:
-            kind, start = back[at]
-            if cuts and kind == "brute" == cuts[-1][0]:
-                cuts[-1] = (kind, start, cuts[-1][2])
-            else:
-                cuts.append((kind, start, at))
+            _, kind, start = best[at]
+            cuts.append((kind, start, at))
             at = start
-        return best[n], cuts[::-1]
+        return best[n][0], cuts[::-1]
+
+    def _from(self, value: str, low: str, i: int, base: float, offer) -> None:
+        """Offers the words and dates that start at character i."""
+        n = len(value)
+        if i < n and low[i].isascii() and low[i].isalpha():
+            for j in range(i + 3, min(n, i + self.longest) + 1):
+                cost = self.words.get(low[i:j])
+                if cost is not None:
+                    offer(j, base + cost + self._case(value[i:j]), "word", i)
+        if i < n and value[i].isdigit():
+            for j in range(i + LEAST_DATE, min(n, i + MOST_DATE) + 1):
+                cost = date_cost(value[i:j])
+                if cost is not None:
+                    offer(j, base + cost, "date", i)
 
     def cost(self, value: str) -> float:
         return self.segments(value)[0]
@@ -162,9 +231,11 @@ def spans(text: str, guess: GuessCost, min_value: int = MIN_VALUE, min_cost: flo
     found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     taken = sorted((s, e) for _, s, e, _ in found)
+    reach = list(itertools.accumulate((e for _, e in taken), max))
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
-        if end - start >= min_value and not any(s <= start and end <= e for s, e in taken):
+        before = bisect.bisect_right(taken, (start, math.inf))
+        if end - start >= min_value and not (before and reach[before - 1] >= end):
             cost = guess.cost(m[1])
             if cost >= min_cost:
                 found.append(("guess", start, end, cost))

@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import time
 
 import public_tokenizers as P
 import pytest
@@ -91,21 +93,59 @@ def test_names_inside_words_are_no_context(words):
     assert [secrets.spans(t, secrets.GuessCost(words)) for t in ("spin: xK9$mQ2!vLp0", "2pwd=xK9$mQ2!vLp0", "Authorization: Bearer")] == [[], [], []]
 
 
+def part_cost(g, value, a, b):
+    """The least price of value[a:b] as one part, from the definitions."""
+    part, n = value[a:b], len(value)
+    costs = [0.3 + sum(map(g._brute, part))]
+    if part.lower() in g.words:
+        costs.append(g.words[part.lower()] + g._case(part))
+    if 4 <= len(part) <= 10 and part[0].isdigit() and secrets.date_cost(part) is not None:
+        costs.append(secrets.date_cost(part))
+    keys = part.lower().translate(secrets.SHIFTED)
+    ways = [g.near.get(x, {}).get(y) for x, y in itertools.pairwise(keys)]
+    if len(part) >= 4 and all(ways):
+        costs.append(math.log10(len(g.near)) + g.turn + sum(0.1 if x == y else g.turn for x, y in itertools.pairwise(ways)))
+    for u in range(1, len(part) + 1):
+        unit = value[a - u : a] if a >= u else None
+        whole = unit and not any(u % p == 0 and unit == unit[:p] * (u // p) for p in range(1, u))
+        if whole and len(part) % u == 0 and part == unit * (len(part) // u) and len(part) + u >= 3:
+            costs.append(math.log10(n // u))
+    return min(costs)
+
+
+def least(g, value):
+    best = [0.0]
+    for b in range(1, len(value) + 1):
+        best.append(min(best[a] + part_cost(g, value, a, b) for a in range(b)))
+    return best[-1]
+
+
 def test_cost_is_least(words):
-    """Against all segmentations of short values, priced by the same parts."""
-    small = secrets.GuessCost({"pass": 1.0, "word": 1.2, "sword": 1.1})
-    for value in ("password", "xpassx", "wordsword", "aaaa", "Pass12"):
-        best = math.inf
-        for cuts in itertools.product([0, 1], repeat=len(value) - 1):
-            bounds = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(value)]
-            parts = [value[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-            best = min(best, sum(small.words[p.lower()] + small._case(p) if p.lower() in small.words else sum(map(small._brute, p)) + 0.3 for p in parts))
-        assert small.cost(value) <= best + 1e-9
+    """Against all segmentations of short values into words, dates, repeats, walks and brute-force spans, priced part by part."""
+    small = secrets.GuessCost({"pass": 1.0, "word": 1.2, "sword": 1.1, "user": 1.0, "abword": 1.3})
+    draw = random.Random(5)
+    values = ["password", "xpassx", "wordsword", "aaaa", "Pass12", "qwertyuser", "abababword", "1/1/2012x", "01022003040506", "x", "aa", "aaa", "qwqwqwqw", "Qwerty!@#$", "İpass", "passpassPASS", "abcabcab" * 3]
+    values += ["".join(draw.choice(["a", "b", "pass", "word", "12", "2011", "/", "qwe", "asdf", "Z", "!"]) for _ in range(draw.randint(1, 9))) for _ in range(200)]
+    for value in values:
+        assert small.cost(value) == pytest.approx(least(small, value), abs=1e-9), value
+
+
+def test_repeats_of_any_length(words):
+    g = secrets.GuessCost(words)
+    unit = "x8K2!vLp0zQ#7m"
+    assert g.cost(unit * 3) == pytest.approx(g.cost(unit) + math.log10(3))
+    assert secrets.repetitions("abab" * 3) == [(2, 0, 12)] and secrets.repetitions("aabaab") == [(1, 0, 2), (1, 3, 5), (3, 0, 6)]
+
+
+def test_many_contexts_in_one_text(words):
+    text = " ".join(f"password=p@{k:06d}xQ" for k in range(4000))
+    began = time.perf_counter()
+    assert len(secrets.spans(text, secrets.GuessCost(words))) > 0 and time.perf_counter() - began < 5
 
 
 def test_parts(words):
     g = secrets.GuessCost(words)
     kinds = lambda v: [k for k, _, _ in g.segments(v)[1]]
-    assert kinds("2019-04-12") == ["date"] and kinds("qwertyuiop") == ["walk"] and kinds("abcabcabcabc") == ["repeat"] and kinds("xK9$mQ2!vLp0") == ["brute"]
+    assert kinds("2019-04-12") == ["date"] and kinds("qwertyuiop") == ["walk"] and kinds("abcabcabcabc") == ["word", "repeat"] and kinds("xK9$mQ2!vLp0") == ["brute"]
     assert g.cost("password1") < 7 < 15 < g.cost("xK9$mQ2!vLp0") and g.cost("") == 0
     assert g.cost("x8K2" * 20_000) < 20
