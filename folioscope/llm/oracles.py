@@ -16,29 +16,37 @@ SELECT doc_id, least(doc_id, coalesce(k.least, doc_id)) AS class_id, coalesce(li
 """
 
 
-def _leaves(text: str, most: int) -> str:
-    return rf"regexp_extract_all({text}, '[^.!?\n]{{0,{most}}}(?:[.!?]+ *|\n+)|[^.!?\n]{{1,{most}}}')"
-
-
-def merkle(leaf: int, small_leaf: int, small: int) -> str:
-    """Trees of texts and edited texts as lists of digests, and likeness from the distinct leaves."""
+def merkle(paragraphs: str, leaves: str) -> str:
+    """Trees of texts and edited texts as lists of digests; likeness from equal paragraphs at both ends and counted leaves of the rest."""
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS nx, first_value(coalesce(text, '')) OVER (ORDER BY doc_id) AS f, lead(doc_id) OVER (ORDER BY doc_id) AS nid, first_value(doc_id) OVER (ORDER BY doc_id) AS fid FROM documents),
 e AS (SELECT doc_id, coalesce(nid, fid) AS nid, t, left(t, length(t) - length(t) // 4) || left(coalesce(nx, f), length(t) // 4) AS ed FROM d),
 u AS (SELECT doc_id, 0 AS k, t AS x FROM e UNION ALL SELECT doc_id, 1, ed FROM e),
-h AS (SELECT doc_id, k, list_transform(l, lambda x: md5(x)) AS h, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR ends_with(l[i], chr(10))) AS e
-  FROM (SELECT doc_id, k, CASE WHEN length(x) < {small} THEN {_leaves('x', small_leaf)} ELSE {_leaves('x', leaf)} END AS l FROM u)),
-p AS (SELECT doc_id, k, h, list_transform(range(1, len(e) + 1), lambda i: md5(array_to_string(h[coalesce(e[i - 1], 0) + 1:e[i]], ''))) AS p,
-  list_transform(range(1, len(e) + 1), lambda i: array_to_string(list_transform(h[coalesce(e[i - 1], 0) + 1:e[i]], lambda x: left(x, 8)), ',')) AS ps FROM (SELECT doc_id, k, h, e FROM h)),
-q AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: i = len(p) OR left(p[i], 1) IN ('0', '1', '2', '3')) AS e FROM p),
-s AS (SELECT doc_id, k, list_distinct(list_transform(h, lambda x: left(x, 8))) AS leaves, sha256(array_to_string(list_transform(range(1, len(e) + 1), lambda i: md5(array_to_string(p[coalesce(e[i - 1], 0) + 1:e[i]], ''))), '')) AS root,
-  array_to_string(list_transform(range(1, len(e) + 1), lambda i: array_to_string(ps[coalesce(e[i - 1], 0) + 1:e[i]], ';')), '|') AS shown FROM q),
-m AS (SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.ed) AS edited_sha256, a.root || ':' || a.shown AS fingerprint, b.root || ':' || b.shown AS edited_fingerprint, a.root AS ra, b.root AS rb, c.root AS rc, a.leaves AS la, b.leaves AS lb, c.leaves AS lc
-  FROM e JOIN s a ON a.doc_id = e.doc_id AND a.k = 0 JOIN s b ON b.doc_id = e.doc_id AND b.k = 1 JOIN s c ON c.doc_id = e.nid AND c.k = 0)
-SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, CASE WHEN ra = rb THEN 1.0 ELSE 2.0 * len(list_intersect(la, lb)) / (len(la) + len(lb)) END::DOUBLE AS near_edited,
-CASE WHEN ra = rc THEN 1.0 ELSE 2.0 * len(list_intersect(la, lc)) / (len(la) + len(lc)) END::DOUBLE AS near_next FROM m
+p AS (SELECT doc_id, k, length(x) AS n, regexp_extract_all(x, '{paragraphs}') AS p FROM u),
+h AS (SELECT *, list_transform(p, lambda x: sha256(x)) AS h FROM p),
+q AS (SELECT *, list_filter(range(1, len(h) + 1), lambda i: i = len(h) OR left(h[i], 1) IN ('0', '1', '2', '3')) AS e FROM h),
+s AS (SELECT *, list_transform(range(1, len(e) + 1), lambda i: sha256(array_to_string(h[coalesce(e[i - 1], 0) + 1:e[i]], ''))) AS s FROM q),
+t AS (SELECT *, sha256(array_to_string(s, '')) AS root, sha256(array_to_string(s, '')) || ':' || array_to_string(list_transform(s, lambda x: left(x, 16)), ',') AS shown FROM s),
+a AS (SELECT doc_id, 1 AS kind, doc_id AS other, 1 AS k FROM e UNION ALL SELECT doc_id, 2, nid, 0 FROM e),
+f AS (SELECT a.*, x.n AS xn, y.n AS yn, x.h AS xh, y.h AS yh, x.e AS xe, x.root = y.root AS same, x.shown, y.shown AS other_shown,
+  coalesce(nullif(list_position(list_transform(range(1, greatest(len(x.h), len(y.h)) + 1), lambda i: x.h[i] IS NOT DISTINCT FROM y.h[i]), false), 0) - 1, len(x.h)) AS front
+  FROM a JOIN t x ON x.doc_id = a.doc_id AND x.k = 0 JOIN t y ON y.doc_id = a.other AND y.k = a.k),
+b AS (SELECT * EXCLUDE (xh, yh, xe), len(xh) AS xl, len(yh) AS yl, len(list_filter(xe, lambda i: i <= front)) + 1 AS section,
+  coalesce(nullif(list_position(list_transform(range(0, greatest(len(xh), len(yh)) - front), lambda i: i < len(xh) - front AND i < len(yh) - front AND xh[len(xh) - i] = yh[len(yh) - i]), false), 0) - 1, len(xh) - front) AS back FROM f),
+v AS (SELECT doc_id, k, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM p),
+w AS (SELECT doc_id, k, i, unnest(regexp_extract_all(p, '{leaves}')) AS leaf, generate_subscripts(regexp_extract_all(p, '{leaves}'), 1) AS j FROM v),
+l AS (SELECT doc_id, k, i, leaf, lag(leaf) OVER (PARTITION BY doc_id, k ORDER BY i, j) AS before FROM w),
+m AS (SELECT b.doc_id, b.kind, 0 AS side, l.leaf, l.before FROM b JOIN l ON l.doc_id = b.doc_id AND l.k = 0 AND l.i > b.front AND l.i <= b.xl - b.back
+  UNION ALL SELECT b.doc_id, b.kind, 1, l.leaf, l.before FROM b JOIN l ON l.doc_id = b.other AND l.k = b.k AND l.i > b.front AND l.i <= b.yl - b.back),
+c AS (SELECT doc_id, kind, leaf, count(*) FILTER (WHERE side = 0) AS x, count(*) FILTER (WHERE side = 1) AS y FROM m GROUP BY doc_id, kind, leaf, before),
+g AS (SELECT doc_id, kind, sum(least(x, y) * length(leaf)) AS shared, sum(x * length(leaf)) AS entered FROM c GROUP BY doc_id, kind),
+r AS (SELECT b.*, CASE WHEN same THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (xn - coalesce(entered, 0) + coalesce(shared, 0))::DOUBLE / (xn + yn) END AS near FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.kind = b.kind)
+SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.ed) AS edited_sha256, x.shown AS fingerprint, x.other_shown AS edited_fingerprint, x.near AS near_edited, y.near AS near_next,
+CAST(CASE WHEN x.same THEN 0 ELSE x.section END AS INT) AS edit_section, CAST(CASE WHEN x.same THEN 0 ELSE x.front + 1 END AS INT) AS edit_paragraph, CAST(CASE WHEN x.same THEN 0 ELSE x.xl - x.back - x.front END AS INT) AS edit_paragraphs
+FROM e JOIN r x ON x.doc_id = e.doc_id AND x.kind = 1 JOIN r y ON y.doc_id = e.doc_id AND y.kind = 2
 """
 
+
 _WHITE = r" \t\n\x0B\f\r"
 
 #: All windows of 50 words, those that occur twice, and their unions in code points.

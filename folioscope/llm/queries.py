@@ -69,7 +69,7 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op9_merkle_fingerprints", oracles.merkle(merkle.LEAF, merkle.SMALL_LEAF, merkle.SMALL))
+@query("op9_merkle_fingerprints", oracles.merkle(merkle.PARAGRAPHS, merkle.LEAVES))
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text's fingerprint beside those of its edited text and of the next document."""
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
