@@ -1,16 +1,15 @@
 """Quality classifier: Naive Bayes support vectors over n-gram indicators.
 
-Features are indicators of hashed n-grams: byte trigrams, and words and word pairs in lower case. Pairs of a word with
-itself count as one n-gram, with an indicator for each power of 4 that its count reaches; another one tells the tenth
-in which the share of distinct words and pairs lies. Each is scaled by
+Features are indicators of hashed n-grams: byte trigrams, and words and word pairs in lower case. Each is scaled by
 its class log-count ratio; dual coordinate descent fits a linear hinge-loss model to the scaled vectors; a logistic
 curve turns margins into scores. The fit uses a bounded sample of the labelled rows, those with the smallest hashes
-of their ids (``SAMPLE_ROWS``); every row is scored.
+of their ids (at most ``SAMPLE_ROWS`` of them and ``SAMPLE_BYTES`` of their texts); every row is scored.
 
 Defined results: a null or empty text has no features and gets the score of the model's intercept; rows whose label is null
-are not learned from; without rows of both classes all scores are the share of label 1 (0.5 without any row); a row's
-score depends on its text alone; repeated rows repeat their score. Extra columns stay; one named like a computed
-column is replaced.
+are not learned from; of documents that share a labelled id the one with the least hash of its text is learned from; without rows of both
+classes all scores are the share of label 1 (0.5 without any row); with fewer than five rows in a class the curve is fitted to the
+rows that the model learned from; a row's score depends on its text alone; repeated rows repeat their score. Extra columns stay; one
+named like a computed column is replaced.
 """
 
 from __future__ import annotations
@@ -19,27 +18,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import LOWER, mix, row_of, span_hashes, text_slices, word_bounds
 from folioscope.llm.bpe import kept_columns, with_rows
 
-#: Labelled rows that the model is fitted to at most.
-SAMPLE_ROWS = 16_000
+#: Labelled rows that the model is fitted to at most, and the bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 1 << 27
 #: Hash values of byte trigrams and of words and word pairs; together 2**16.
 TRIGRAMS, WORDS = 1 << 15, 1 << 15
 FEATURES = TRIGRAMS + WORDS
-#: The last features, which no hash reaches: 12 powers of 4, and 11 tenths.
-OWN = 32
 #: Rows and bytes in one matrix of indicators.
 BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
 SMOOTHING, COST, EPOCHS, SEED = 1.0, 0.05, 12, 11
 
 
 def _word_feature(hashes: np.ndarray) -> np.ndarray:
-    return TRIGRAMS + ((hashes >> np.uint64(32)) % np.uint64(WORDS - OWN)).astype(np.int64)
+    return TRIGRAMS + ((hashes >> np.uint64(32)) % np.uint64(WORDS)).astype(np.int64)
 
 
 def indicators(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,13 +58,6 @@ def indicators(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         pairs = mix(words[:-1] * np.uint64(3) + words[1:])
         inside = row[:-1] == row[1:]
         seen[row[:-1][inside], _word_feature(pairs[inside])] = True
-        twice = np.bincount(row[:-1][inside & (words[:-1] == words[1:])], minlength=n)
-        for k in range(12):
-            seen[twice >= 4**k, FEATURES - OWN + k] = True
-        counts = np.diff(first)
-        some = np.flatnonzero(counts > 1)
-        share = seen[some, TRIGRAMS : FEATURES - OWN].sum(axis=1) / (2 * counts[some] - 1)
-        seen[some, FEATURES - OWN + 12 + np.minimum(share * 10, 10).astype(np.int64)] = True
     rows, features = np.nonzero(seen)
     return features.astype(np.uint16), np.searchsorted(rows, np.arange(n + 1))
 
@@ -149,8 +139,8 @@ def logistic_curve(margin: np.ndarray, label: np.ndarray, rounds: int = 60) -> t
 
 
 def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray) -> Model:
-    """The model of labelled rows; every fifth row is held back for the logistic curve."""
-    if len(set(label.tolist())) < 2 or min(np.bincount(label)) < 5:
+    """The model of labelled rows; every fifth row of a class is held back for the logistic curve."""
+    if len(set(label.tolist())) < 2:
         share = min(max(float(label.mean()) if len(label) else 0.5, 1e-6), 1 - 1e-6)
         return Model(np.zeros(FEATURES), 0.0, 0.0, float(np.log(share / (1 - share))))
     place = np.zeros(len(label), dtype=np.int64)
@@ -165,6 +155,8 @@ def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray) -> Model:
     own, begin = part(~back)
     ratios = log_count_ratios(own, begin, label[~back])
     weights, intercept = dual_coordinate_descent(own, begin, label[~back], ratios)
+    if len(set(label[back].tolist())) < 2:
+        back = np.ones(len(label), dtype=bool)
     other, begin = part(back)
     sums = np.concatenate([[0.0], np.cumsum(weights[other])])
     slope, shift = logistic_curve(sums[begin[1:]] - sums[begin[:-1]] + intercept, label[back])
@@ -176,32 +168,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of at most ``rows`` labelled documents that are not held out."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and labels of at most ``rows`` labelled documents that are not held out, of ``most`` bytes of text together."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
     # labels of documents that are not there take no place in the sample
     there = known.join(docs.select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
     chosen = there.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    # at most ``rows`` ids, a parameter
-    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    # at most ``rows`` ids, a parameter; one text for each, and as many in the order of their hashes as the bytes allow
+    found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    single = found.groupBy("_id").agg(F.min("_label").alias("_label"), F.min(F.struct(F.xxhash64("_text").alias("hash"), F.col("_text").alias("text"))).alias("_least"))
+    so_far = F.sum(F.octet_length("_least.text").cast("long")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    cut = single.select("_id", "_label", F.col("_least.text").alias("_text"), so_far.alias("_sum")).filter(F.col("_sum") <= most)
 
     def run(batches):
         for batch in batches:
             for part, raw, offs in blocks(batch, "_text"):
                 features, first = indicators(raw, offs)
-                data = pa.array([features[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), data], names=["id", "label", "features"])
-
-    kept = found.select("_id", "_text", "_label").mapInArrow(run, "id string, label int, features binary").toArrow()
-    # a repeated id may bring more rows than ids
-    kept = kept.sort_by([("id", "ascending")]).slice(0, rows).combine_chunks()
-    if not kept.num_rows:
-        return np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64)
-    _, offsets, data = kept.column("features").chunk(0).buffers()
-    own = kept.column("features").chunk(0)
-    bounds = np.frombuffer(offsets, np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
-    features = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view(np.uint16)
-    return features, (bounds - bounds[0]) // 2, np.array(kept.column("label").to_pylist(), dtype=np.int64)
+                data = pa.array([features[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.large_binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), data.cast(pa.binary())], names=["id", "label", "features"])
+
+    kept = cut.select("_id", "_text", "_label").mapInArrow(run, "id string, label int, features binary").toArrow().sort_by([("id", "ascending")])
+    data = [x.as_py() for x in kept.column("features")]
+    first = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data], dtype=np.int64)]).astype(np.int64)
+    return np.frombuffer(b"".join(data), np.uint16), first, np.array(kept.column("label").to_pylist(), dtype=np.int64)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", with_text: bool = False) -> DataFrame:

@@ -102,3 +102,43 @@ def test_log_count_ratios():
     found = quality.log_count_ratios(features, np.array([0, 2, 4]), np.array([1, 0]))
     one, zero = 2 + quality.FEATURES, 2 + quality.FEATURES
     assert np.allclose(found[:3], [np.log((2 / one) / (1 / zero)), np.log((2 / one) / (2 / zero)), np.log((1 / one) / (2 / zero))])
+
+
+def test_repeated_ids_and_bytes(documents, spark):
+    """One text of each id, that with the least hash, and no more bytes than asked for."""
+    rows, labels = labelled(200)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = documents([*rows, *rows, *((i, "another text " * 50) for i, _ in rows)])
+    one = quality.sample(docs, known)
+    two = quality.sample(docs.orderBy("text"), known)
+    assert len(one[2]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows) and all(np.array_equal(a, b) for a, b in zip(one, two))
+    _, first, label = quality.sample(documents(rows), known, most=5000)
+    assert 0 < len(label) < 50 and quality.sample(documents(rows), known, most=0)[2].size == 0
+
+
+def test_few_rows_of_a_class(documents, spark):
+    rows, labels = labelled(300)
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    bad = [i for i, q, _ in labels if not q and not held(i)][:2]
+    some = [(i, q, t) for i, q, t in labels if q or i in bad]
+    found = {r["doc_id"]: r["score"] for r in quality.scored(documents(rows), quality.classifier(documents(rows), spark.createDataFrame(some, "doc_id long, quality int, toxic int"))).collect()}
+    assert len({round(x, 6) for x in found.values()}) > 100 and all(found[i] < np.median(list(found.values())) for i in bad)
+
+
+def test_scores_by_hand(documents, spark):
+    """Each score anew from the model and sets of n-grams read one by one."""
+    rows, labels = labelled(120)
+    model = quality.classifier(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {r["doc_id"]: r["score"] for r in quality.scored(documents([*rows, *((900 + k, t) for k, (_, t) in enumerate(ODD))]), model).collect()}
+    for i, text in [*rows, *((900 + k, t) for k, (_, t) in enumerate(ODD))]:
+        raw = (text or "").encode()
+        own = {(((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 17 for a, b, c in zip(raw, raw[1:], raw[2:])}
+        words = [w for w in raw.translate(bytes(quality.LOWER)).translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)).split(b" ") if w]
+        if words:
+            flat = np.frombuffer(b"".join(words), np.uint8)
+            ends = np.cumsum([len(w) for w in words])
+            hashes = quality.span_hashes(flat, ends - [len(w) for w in words], ends)
+            pairs = quality.mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+            own |= {quality.TRIGRAMS + int(h >> np.uint64(32)) % quality.WORDS for h in [*hashes, *pairs]}
+        margin = sum(model.weights[f] for f in own) + model.intercept
+        assert found[i] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.shift))), abs=1e-9)
