@@ -1,11 +1,12 @@
 """Byte-level BPE over Arrow batches with the tokenizers library, with offsets and an exact way back.
 
 White space of the split pattern ends a match before every plain space that a visible character follows,
-so a text is cut there into pieces that can be encoded alone. Each distinct piece of a slice is encoded once by
-the library; a bounded cache keeps the pieces of earlier slices.
+so a text is cut there into pieces that can be encoded alone; a definition that does not split so (as a few probes tell) encodes whole
+texts. Each distinct piece of a slice is encoded once by the library; a bounded cache keeps the pieces of earlier slices. The bytes of
+a slice's ids are compared with its text, so pieces that share a hash are seen; their rows are encoded whole.
 
-Defined results: a null or empty text has no ids; strings of special tokens are ordinary text; ids outside the
-vocabulary raise ``ValueError`` when decoded. Rows repeat where the input repeats.
+Defined results: a null or empty text has no ids; strings of special tokens are ordinary text; bytes that are no UTF-8 are read as
+U+FFFD; ids outside the vocabulary raise ``ValueError`` when decoded. Rows repeat where the input repeats.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import codecs
 import hashlib
 import json
 import os
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +36,10 @@ SLICE_BYTES = 1 << 21
 _VISIBLE = ~WHITE & (np.arange(256) > 31) & ~np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
 
+#: Texts whose ids must be those of their pieces, if texts are to be cut at spaces.
+PROBES = ("a b", "a  b", " a \n b", "it's 12 345\t x", "é 漢 字. ? !! a\u00a0b c", "1 2-3 (x) \r\n  y", "A B'LL c's  .", "🙂 🙂 a\u3000b c")
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -99,16 +105,46 @@ class Encoder:
         self.token_bytes = np.array(table, dtype=object)
         self.token_sizes = np.array([-1 if t is None else len(t) for t in table], dtype=np.int64)
         self.decimals = np.array([str(i) for i in range(size)], dtype=object)
+        flat = [t or b"" for t in table]
+        self.flat = np.frombuffer(b"".join(flat), np.uint8)
+        self.flat_begin = np.concatenate([[0], np.cumsum([len(t) for t in flat])])[:-1]
         self.most = cache_pieces
         self.keys = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int32)
         self.count = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
+        self.cuts = all(self._whole(t) == [i for x in self._spaced(t) for i in self._whole(x)] for t in PROBES)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def _spaced(text: str) -> list[str]:
+        raw = text.encode()
+        at = [0, *(i for i in range(1, len(raw) - 1) if raw[i] == 32 and _VISIBLE[raw[i + 1]]), len(raw)]
+        return [raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids of the vocabulary, as an array."""
+        sizes = self.token_sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.flat_begin[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, each row's first id and one more at the end) for UTF-8 bytes and row offsets."""
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        if self.cuts:
+            try:
+                ids, first = self._by_pieces(raw, offs)
+                if np.array_equal(self.bytes_of(ids), raw):
+                    return ids, first
+            except ValueError:
+                pass
+        rows = [self._whole(raw[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return np.array([i for r in rows for i in r], dtype=np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int64)
+
+    def _by_pieces(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.zeros(len(raw) + 1, dtype=bool)
         cut[:-2] = (raw[:-1] == 32) & _VISIBLE[raw[1:]]
         cut[offs] = True
@@ -133,11 +169,11 @@ class Encoder:
             new = np.concatenate([new[alone], new[~alone]])
             s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
             k = int(alone.sum())
-            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(s[:k], e[:k], strict=True)]
+            texts = [whole[a:b].decode("utf-8") for a, b in zip(s[:k], e[:k], strict=True)]
             found = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
             count[new[:k]] = np.fromiter(map(len, found), np.int64, k)
             joined = b"".join([whole[a:b] for a, b in zip(s[k:], e[k:], strict=True)])
-            spaced = np.array(self.library.encode(joined.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
+            spaced = np.array(self.library.encode(joined.decode("utf-8"), add_special_tokens=False).ids, dtype=np.uint32)
             if int(self.token_sizes[spaced].sum()) != len(joined):
                 raise ValueError("a text is not valid UTF-8")
             stops = np.searchsorted(np.cumsum(self.token_sizes[spaced]), np.cumsum((ends - starts)[where[new[k:]]])) + 1
@@ -158,7 +194,13 @@ class Encoder:
         return ids, tokens[np.searchsorted(bounds, offs)]
 
     def offsets(self, raw: np.ndarray, offs: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each id in code points of its own text; an id inside a character spans all of it."""
+        """Start and end of each id in code points of its own text; an id inside a character spans all of it.
+
+        Bytes that are no UTF-8 are read as U+FFFD, as in :meth:`encode`.
+        """
+        if int(self.token_sizes[ids].sum()) != len(raw):
+            rows = [raw[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            raw, offs = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         ends = np.cumsum(self.token_sizes[ids])
         starts = ends - self.token_sizes[ids]
         character = np.cumsum((raw & 0xC0) != 0x80) - 1
@@ -239,22 +281,27 @@ def decode_column(df: DataFrame, definition: str, ids: str = "ids", to: str = "d
 
 
 def round_trip_digests(df: DataFrame, definition: str, text: str = "text") -> DataFrame:
-    """Encodes each text and decodes its ids: number of ids, SHA-256 of the decimal ids and of the decoded bytes."""
-    made = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    """Encodes each text and decodes its ids: number of ids, SHA-256 of the decimal ids and of the decoded bytes.
+
+    offsets_crc32: of the ids' starts and then their ends in code points, as little-endian 32-bit numbers.
+    """
+    made = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "offsets_crc32": pa.int64()}
     keep = kept_columns(df, list(made), text, False)
     source = df.select(*dict.fromkeys([*keep, text]))
-    schema = T.StructType([source.schema[c] for c in keep]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = T.StructType([source.schema[c] for c in keep]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("offsets_crc32", "long")
 
     def run(batches):
         own = encoder(definition)
         for batch in batches:
             for rows, raw, offs in text_slices(batch, text, SLICE_BYTES):
                 ids, first = own.encode(raw, offs)
-                digests, decoded = [], []
+                digests, decoded, places = [], [], []
+                starts, ends = (x.astype("<u4") for x in own.offsets(raw, offs, ids, first))
                 for i in range(len(first) - 1):
+                    places.append(zlib.crc32(ends[first[i] : first[i + 1]], zlib.crc32(starts[first[i] : first[i + 1]])))
                     part = ids[first[i] : first[i + 1]]
                     digests.append(hashlib.sha256(" ".join(own.decimals[part].tolist()).encode()).hexdigest())
                     decoded.append(hashlib.sha256(own.decode_bytes(part)).hexdigest())
-                yield with_rows(rows, keep, dict(zip(made, (pa.array(np.diff(first)), pa.array(digests), pa.array(decoded)), strict=True)))
+                yield with_rows(rows, keep, dict(zip(made, (pa.array(np.diff(first)), pa.array(digests), pa.array(decoded), pa.array(places, pa.int64())), strict=True)))
 
     return source.mapInArrow(run, schema)

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -86,3 +87,35 @@ def test_digests(documents, definition, tik):
 def test_empty_table(documents, definition):
     assert bpe.round_trip_digests(documents([]), definition).collect() == []
     assert bpe.encode_columns(documents([]), definition).collect() == []
+
+
+def test_pieces_that_share_a_hash(definition, tik, monkeypatch):
+    """Their rows are encoded whole, in the slice of both and behind the cache."""
+    own = bpe.Encoder(definition)
+    monkeypatch.setattr(bpe, "span_hashes", lambda raw, starts, ends: np.full(len(starts), 7, dtype=np.uint64))
+    for texts in (["one two"], ["other words", "one two three"], ["one two"]):
+        raw, offs = A.text_buffers(pa.array(texts))
+        ids, first = own.encode(raw, offs)
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [tik.encode_ordinary(t) for t in texts]
+
+
+def test_bytes_that_are_no_text(definition, tik):
+    own = bpe.Encoder(definition)
+    rows = [b"ok \xff x", b"\xc3", b" \xe6\xbc", b"fine"]
+    raw, offs = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    ids, first = own.encode(raw, offs)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [tik.encode_ordinary(r.decode("utf-8", "replace")) for r in rows]
+    starts, ends = own.offsets(raw, offs, ids, first)
+    assert ends[first[1:] - 1].tolist() == [len(r.decode("utf-8", "replace")) for r in rows] and (starts[first[:-1]] == 0).all()
+
+
+def test_definitions_that_must_not_be_cut(definition):
+    assert bpe.Encoder(definition).cuts
+    joined = json.loads(definition)
+    joined["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\n]+|\n+"
+    vocab = {c: k for k, c in enumerate(bpe.byte_characters())}
+    joined["model"] |= {"vocab": vocab | {"a\u0120": 256, "a\u0120b": 257}, "merges": [["a", "\u0120"], ["a\u0120", "b"]]}
+    own = bpe.Encoder(json.dumps(joined))
+    raw, offs = A.text_buffers(pa.array(["a b or not", "a b\nc d"]))
+    ids, first = own.encode(raw, offs)
+    assert not own.cuts and ids[0] == 257 and [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [own.library.encode(t, add_special_tokens=False).ids for t in ("a b or not", "a b\nc d")]
