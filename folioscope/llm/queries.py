@@ -64,8 +64,9 @@ def op10_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, a uniform shuffle with shard sizes at most one apart."""
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sharding.shuffled_shards(written(docs, "sizes"), text="text_crc32")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+    # written, so that a row keeps its number
+    placed = sharding.shuffled_shards(written(docs, "sizes"), text="text_crc32", row="row")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

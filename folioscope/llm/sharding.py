@@ -7,9 +7,10 @@ permuted again by a third hash. The permutation inside a shard goes by hash rang
 DataFrame functions only; the driver sees one count for each partition, whose number has a fixed bound.
 
 Defined results: law ``rows``: shard sizes differ by one at most, the first shards are larger. A null key or text
-hashes as such, a null text has size 8 and the checksum of no bytes. Repeated rows are rows of their own; rows alike
-in key and text may change places with one another. An empty table gives no rows. Extra columns stay; one named
-like a computed column is replaced. All else follows from ``seed``.
+hashes as such, a null text has size 8 and the checksum of no bytes. Repeated rows are rows of their own; a ``row`` column that numbers
+them spreads rows alike in key and text, however many there are; without it they lie in one partition and may change
+places with one another. An empty table gives no rows. Extra columns stay; one named like a computed column is replaced. All else
+follows from ``seed``.
 """
 
 from __future__ import annotations
@@ -43,12 +44,13 @@ def _hash(*what: Column | str) -> Column:
     return F.xxhash64(*what)
 
 
-def shuffled_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 7, parts: int | None = None) -> DataFrame:
-    """Adds shard and slot (gapless from 0 in its shard) to every row."""
+def shuffled_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 7, parts: int | None = None, row: str | None = None) -> DataFrame:
+    """Adds shard and slot (gapless from 0 in its shard) to every row. row: a column that tells like rows apart, the same whenever it is read."""
     spark = df.sparkSession
     source = df.select(*(c for c in df.columns if c.lower() not in ("shard", "slot")))
     # the text is in the hash, so that rows that share a key (or have none) spread too
-    first = _hash(F.lit(seed), key, text)
+    what = [key, text] + ([row] if row else [])
+    first = _hash(F.lit(seed), *what)
     if parts is None:
         counted = source.groupBy(F.pmod(first, F.lit(MOST)).alias("p")).agg(F.count("*").alias("n"))
         found = {r["p"]: r["n"] for r in counted.collect()}
@@ -67,7 +69,7 @@ def shuffled_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shar
     # 16,384 rows of as many ends as shards at most
     listed = F.from_json(F.lit(json.dumps(np.cumsum(matrix, axis=1).tolist())), "array<array<bigint>>")
     ends = spark.range(1).select(F.posexplode(listed).alias("_part", "_ends"))
-    local = Window.partitionBy("_part").orderBy(_hash(F.lit(seed + 1), key, text), key, text)
+    local = Window.partitionBy("_part").orderBy(_hash(F.lit(seed + 1), *what), *what)
     cut = (
         source.withColumn("_part", F.pmod(first, F.lit(parts)).cast("int"))
         .withColumn("_rank", F.row_number().over(local) - 1)
@@ -75,15 +77,15 @@ def shuffled_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shar
         .withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
         .drop("_ends", "_rank")
     )
-    return _permuted(cut, key, text, seed).select(*source.columns, "shard", "slot")
+    return _permuted(cut, what, seed).select(*source.columns, "shard", "slot")
 
 
-def _permuted(cut: DataFrame, key: str, text: str, seed: int) -> DataFrame:
+def _permuted(cut: DataFrame, what: list[str], seed: int) -> DataFrame:
     """Adds slot: the row's place in a permutation of its shard."""
-    third = _hash(F.lit(seed + 2), key, text)
+    third = _hash(F.lit(seed + 2), *what)
     dealt = cut.withColumn("_hash", third).withColumn("_range", F.shiftrightunsigned("_hash", 64 - RANGES.bit_length() + 1).cast("int"))
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("shard", "_range").agg(F.count("*").alias("_n")).select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("shard", "_range").orderBy("_hash", key, text)
+    within = Window.partitionBy("shard", "_range").orderBy("_hash", *what)
     # as many rows as shards times ranges
     return dealt.withColumn("_place", F.row_number().over(within) - 1).join(F.broadcast(bases), ["shard", "_range"]).withColumn("slot", F.col("_base") + F.col("_place"))
