@@ -31,8 +31,9 @@ from folioscope.llm.workspace import written
 
 SIZE = 2048
 END_ID = 1
-#: Pieces that one hash bucket of a length's ranks should have at most, and the fewest and most buckets.
-BUCKET_PIECES, FEWEST, MOST = 100_000, 64, 4096
+#: Pieces that one hash bucket of a length's ranks should have at most, and the fewest and most buckets. With all pieces of one
+#: length, 65,536 buckets of 100,000 hold 6.5 * 10**9 pieces, some 50 TB of text; beyond that buckets grow and their sorts spill.
+BUCKET_PIECES, FEWEST, MOST = 100_000, 64, 65_536
 
 
 @dataclass(frozen=True)
