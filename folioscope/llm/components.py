@@ -28,8 +28,12 @@ def _stars(directed: DataFrame, small: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of an edge between different nodes; edges: (u long, v long); root: the least node."""
+    """(node, root) for each node of an edge between different nodes; edges: (u, v) of one type with an order; root: the least node.
+
+    Raises ``RuntimeError`` where the components do not settle in ``rounds`` rounds.
+    """
     spark = edges.sparkSession
+    kind = edges.schema["u"].dataType.simpleString()
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     path, mark = None, None
     for _ in range(rounds):
@@ -38,7 +42,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if path:
             dropped(spark, path)
         path = next_path
-        now = spark.read.schema("u long, v long").parquet(path)
+        now = spark.read.schema(f"u {kind}, v {kind}").parquet(path)
         # an exact sum of hashes and the count tell whether the edges moved
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == mark or not state[0]:

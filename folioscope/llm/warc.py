@@ -2,14 +2,17 @@
 
 ``archive`` writes three records for each page: a request, a response (or a revisit of the response with the same payload),
 and metadata, the last two concurrent to the others by record id. Of pages with equal payloads of at least
-``revisit_from`` bytes, the one with the largest id is the response. ``records`` reads the archives: each file is read
-whole, so a file holds ``FILE_RECORDS`` records at most. ``captures`` joins request, response and metadata records by the ids they
-are concurrent to and gives one nested row for each capture.
+``revisit_from`` bytes, the one with the largest id is the response. ``records`` reads archives (plain, or gzip of one or many members): each
+file is read whole, so ``archive`` bounds its files in bytes. ``captures`` takes concurrent-to identifiers as edges without a direction,
+whichever record names the other, and gives one nested row for each component of them.
 
 Defined results: a null payload is an empty one; a null or repeated page id is a page of its own as long as its url or payload differs
 (rows alike in all three are one capture each, told apart by a number); among equal payloads and equal ids the larger url is the response.
 A null url is an empty target. An empty table writes no archive and gives no rows. Extra columns are not archived. A record that
-is cut short, or whose payload does not have its digest, raises ``ValueError``.
+is cut short, or whose payload does not have its digest, raises ``ValueError``. Records without a concurrent one, and identifiers that no record
+has, do no harm: a lone response is a capture without request and metadata. Of several records of a kind in one transaction the one with
+the least id stands in the transaction's row; each other one has a row of its own with the same transaction id, so none is lost and no
+group is collected. Records of other kinds are in no capture.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm.components import connected_components
 from folioscope.llm.workspace import folder, written
 
-#: Records of one archive file at most.
-FILE_RECORDS = 3000
+#: Records of one archive file at most, and bytes that its payloads should have at most.
+FILE_RECORDS, FILE_BYTES = 3000, 1 << 26
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2025-01-01T00:00:00Z"
 #: What ends a record; the text sink writes it between records.
@@ -50,12 +54,23 @@ def _record(kind: str, record: Column, others: list[Column], lines: list[tuple[s
     return F.concat(head, F.lit("\r\n\r\n"), block)
 
 
+def size_class(size: Column) -> Column:
+    """0 for payloads of which a file may hold ``FILE_RECORDS`` / 3, then one more for each 16 times as many bytes, 3 at most."""
+    least = FILE_BYTES // (FILE_RECORDS // 3)
+    return (size > least).cast("int") + (size > 16 * least).cast("int") + (size > 256 * least).cast("int")
+
+
+def class_records(k: int) -> int:
+    """Records of a file of a class: whole pages, of ``FILE_BYTES`` together, or one page."""
+    return 3 * max(1, FILE_RECORDS // 3 // 16**k) if k < 3 else 3
+
+
 def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, compression: str = "gzip") -> None:
     """Writes the archives of all pages as WARC files under ``path``."""
     html = F.coalesce(F.col(payload), F.lit(""))
     target = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\r\n]", "%0A")
     page = pages.select(F.col(page_id).alias("page_id"), target.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    marks = written(page.select("page_id", "url", "sha1", (F.octet_length("html") >= revisit_from).alias("long")), "digests")
+    marks = written(page.select("page_id", "url", "sha1", (F.octet_length("html") >= revisit_from).alias("long"), size_class(F.octet_length("html")).alias("class")), "digests")
     who = F.struct("page_id", "url")
     chosen = written(marks.filter("long").groupBy("sha1").agg(F.max(who).alias("who"), F.count("*").alias("n")).filter("n > 1").drop("n"), "responses")
 
@@ -84,8 +99,11 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
         _record("revisit", response, [request], [*uri, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", refers)], "application/http;msgtype=response", http)
     )
     described = _record("metadata", metadata, [request, response], uri, "application/warc-fields", F.concat(F.lit("pageId: "), paged, F.lit("\r\n")))
-    lines = joined.select(F.explode(F.array(asked, answered, described)).alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
+    own = size_class(F.octet_length("html"))
+    # four classes at most
+    for k in sorted(r["class"] for r in marks.select("class").distinct().collect()) or [0]:
+        lines = joined.filter(own == k).select(F.explode(F.array(asked, answered, described)).alias("value"))
+        lines.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", class_records(k)).option("compression", compression).text(path)
 
 
 _FIELD = re.compile(rb"^([!-9;-~]+):[ \t]*(.*?)[ \t]*$")
@@ -150,17 +168,30 @@ def records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFr
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz,txt,txt.gz}").load(path).select("content")
     return files.mapInArrow(run, RECORD)
 
 
+def transactions(found: DataFrame) -> DataFrame:
+    """(record_id, transaction) of records with a concurrent one: the least identifier that concurrent-to edges reach, in any direction."""
+    edges = found.select(F.col("record_id").alias("u"), F.explode(F.array_distinct("concurrent_to")).alias("v"))
+    return connected_components(edges).withColumnsRenamed({"node": "record_id", "root": "transaction"})
+
+
 def captures(found: DataFrame) -> DataFrame:
-    """One row for each request: request, response (or revisit) and metadata as structs, joined through concurrent-to ids."""
+    """One row for each transaction: request, response (or revisit) and metadata as structs; rows for further records of a kind."""
+    kind = F.when(F.col("type") == "revisit", "response").otherwise(F.col("type"))
+    kinds = ("request", "response", "metadata")
+    named = found.withColumn("_kind", kind).filter(F.col("_kind").isin(*kinds))
+    of = written(transactions(found.select("record_id", "concurrent_to")), "transactions")
+    in_one = named.join(of, "record_id", "left").withColumn("transaction", F.coalesce("transaction", "record_id"))
     whole = F.struct("record_id", "target", "refers_to", "digest", "payload_bytes", "block", "type")
-    request = found.filter("type = 'request'").select(F.col("record_id").alias("request_id"), whole.alias("request"))
-    answer = found.filter("type in ('response', 'revisit')").select(F.get("concurrent_to", F.lit(0)).alias("request_id"), F.col("record_id").alias("response_id"), whole.alias("response"))
-    about = found.filter("type = 'metadata'").select(F.explode("concurrent_to").alias("request_id"), whole.alias("metadata"))
-    return request.join(answer, "request_id", "left").join(about, "request_id", "left").select("request_id", "request", "response", "metadata")
+    least = in_one.groupBy("transaction").agg(*(F.min(F.when(F.col("_kind") == k, whole)).alias(k) for k in kinds), *(F.count_if(F.col("_kind") == k).alias(f"_n_{k}") for k in kinds))
+    least = written(least, "captures")
+    several = least.filter(" or ".join(f"_n_{k} > 1" for k in kinds)).select("transaction", *(F.col(f"{k}.record_id").alias(f"_{k}") for k in kinds))
+    beside = in_one.join(several, "transaction").filter(~F.col("record_id").isin(*(F.coalesce(f"_{k}", F.lit("")) for k in kinds)))
+    rest = beside.select("transaction", *(F.when(F.col("_kind") == k, whole).alias(k) for k in kinds))
+    return least.select("transaction", *kinds).unionByName(rest)
 
 
 def page_captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, with_payload: bool = False, compression: str = "gzip") -> DataFrame:

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -78,3 +79,36 @@ def test_faults_are_seen(spark, pages, tmp_path):
     (tmp_path / "bad" / "a.txt").write_bytes(data.replace("<p>é".encode(), "<q>é".encode()))
     with pytest.raises(Exception, match="does not have its digest"):
         warc.records(spark, str(tmp_path / "bad")).collect()
+
+
+def record(kind, name, others=(), payload="x", extra=()):
+    head = b"HTTP/1.1 200 OK\r\n\r\n" if kind == "response" else b""
+    body = head + payload.encode()
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", name), *(("WARC-Concurrent-To", o) for o in others), *([("WARC-Payload-Digest", f"sha1:{sha(payload)}")] if kind == "response" else []), *extra, ("Content-Length", str(len(body)))]
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n" + body + b"\r\n\r\n"
+
+
+def test_transactions_in_any_direction(spark, tmp_path):
+    """Requests that name responses, chains, several ids, missing partners, lone responses, and further records of a kind."""
+    records = [
+        record("warcinfo", "<i>"), record("request", "<q1>", ["<r1>"]), record("response", "<r1>", payload="one"), record("metadata", "<m1>", ["<r1>"]),
+        record("response", "<r2>", payload="alone"), record("response", "<r3>", ["<q3>", "<m3>"]), record("request", "<q3>"), record("metadata", "<m3>"),
+        record("request", "<q4>", ["<gone>"]), record("metadata", "<m5>", ["<r5>"]), record("metadata", "<m6>", ["<r5>"]), record("response", "<r5>"), record("revisit", "<v7>", ["<v7>"]),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:6]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[6:]))
+    rows = warc.captures(warc.records(spark, str(tmp_path))).collect()
+    got = sorted([tuple(r[k]["record_id"] if r[k] else None for k in ("request", "response", "metadata")) for r in rows], key=str)
+    assert got == sorted([("<q1>", "<r1>", "<m1>"), (None, "<r2>", None), ("<q3>", "<r3>", "<m3>"), ("<q4>", None, None), (None, "<r5>", "<m5>"), (None, None, "<m6>"), (None, "<v7>", None)], key=str)
+    assert len({r["transaction"] for r in rows}) == 6 and {r["response"]["block"] for r in rows if r["response"] and r["response"]["type"] == "response"} == {"one", "alone", "x"}
+
+
+def test_files_are_bounded_in_bytes(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 30_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 300)
+    rows = [(k, f"http://a/{k}", str(k) * n) for k, n in enumerate([5] * 150 + [900] * 40 + [30_000] * 3 + [200_000] * 2)]
+    path = folder(spark, "w")
+    warc.archive(pages(rows).coalesce(1), path, compression="none")
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(warc.records(spark, path).collect()) == 3 * len(rows) and len(sizes) >= 2 + 7 + 5
+    assert sorted(sizes)[-5:][0] > 89_000 and sorted(sizes)[-6] < 150_000
