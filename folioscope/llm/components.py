@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.workspace import dropped, folder, written
+from folioscope.llm.workspace import dropped, folder, held_in, written
 
 
 def _stars(directed: DataFrame, small: bool) -> DataFrame:
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     kind = edges.schema["u"].dataType.simpleString()
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    path, mark = None, None
+    path = None
     for _ in range(rounds):
         next_path = folder(spark, "stars")
         now.write.parquet(next_path)
@@ -43,11 +43,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             dropped(spark, path)
         path = next_path
         now = spark.read.schema(f"u {kind}, v {kind}").parquet(path)
-        # an exact sum of hashes and the count tell whether the edges moved
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == mark or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = tuple(state)
+        if _are_stars(now):
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return held_in(out, path)
         large = _stars(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), small=False)
         now = _stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), small=True)
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs under one node only, which hangs under none."""
+    if not edges.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()

@@ -33,7 +33,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return held_in(spark.read.schema(df.schema).parquet(path), path)
+
+
+_folders: dict[int, str] = {}
+
+
+def held_in(df: DataFrame, path: str) -> DataFrame:
+    """``df``, with a note that it is read from a path of :func:`folder`, for :func:`discard`."""
+    _folders[id(df._jdf)] = path
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads; others are left alone."""
+    for df in tables:
+        path = _folders.pop(id(df._jdf), None)
+        if path:
+            dropped(df.sparkSession, path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -106,3 +106,32 @@ def test_components(spark, seed):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert found == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_buckets_of_large_components(documents, monkeypatch):
+    """Components of more blocks than bands are compared bucket by bucket, each pair once."""
+    monkeypatch.setattr(jaccard, "LEAST_SIDE", 1)
+    monkeypatch.setattr(jaccard, "MOST_SIDE", 1)
+    rows = near_copies(seed=9, groups=2, size=120)
+    assert sorted((tuple(r) for r in jaccard.near_classes(documents(rows)).collect()), key=key) == sorted(brute(rows), key=key)
+
+
+def test_candidates():
+    draw = np.random.default_rng(3)
+    left, right = draw.integers(0, 12, (9, 7)), draw.integers(0, 12, (11, 7))
+    same = left[:, None, :] == right[None, :, :]
+    assert (jaccard.candidates(left, right) == same.any(axis=2)).all()
+    first = np.where(same.any(axis=2), same.argmax(axis=2), -1)
+    assert all((jaccard.candidates(left, right, b) == (first == b)).all() for b in range(7))
+
+
+def test_verified_pairs_of_boilerplate(documents):
+    """20,000 texts of which 30 % is the same: few of their pairs share a band, and only those are verified."""
+    draw = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = [(k, shared + " " + " ".join(f"u{draw.randint(0, 10**9)}" for _ in range(70))) for k in range(20_000)]
+    marks = jaccard.signatures(documents(rows).repartition(8))
+    names = [c for c in marks.columns if c.startswith("b")]
+    table = marks.select(*names).toPandas()
+    pairs = sum(int((n * (n - 1) // 2).sum()) for n in (table[c].value_counts().to_numpy() for c in names))
+    assert pairs < len(rows) / 2
