@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,44 @@ def test_like_brute_force(documents, seed, sizes):
         assert {p for a, b in r["removed"] for p in range(a, b)} == removed
 
 
+@pytest.mark.parametrize(("part", "segment"), [(300, 1 << 15), (1 << 24, 1), (2000, 3)])
+def test_borders(spark, documents, monkeypatch, part, segment):
+    """Suffixes dealt over many tasks and cut into small segments; a phrase in every text, with other words around it, and one long passage."""
+    monkeypatch.setattr(suffixes, "PART_BYTES", part)
+    monkeypatch.setattr(suffixes, "SEGMENT_ROWS", segment)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    draw = random.Random(11)
+    some = lambda n: [f"w{draw.randint(0, 60)}" for _ in range(n)]
+    phrase, passage = some(9), some(40)
+    rows = [(k, " ".join(some(draw.randint(0, 12)) + (phrase if k % 3 else passage) + some(draw.randint(0, 12)))) for k in range(150)]
+    try:
+        found = suffixes.repeats(documents(rows), length=10, window=6, gram=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = brute(rows, 10)
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found} == {k: v[0] for k, v in wanted.items()}
+    assert all({p for a, b in r["removed"] for p in range(a, b)} == wanted[r["doc_id"]][1] for r in found)
+
+
+def test_common_words():
+    texts = ["", "a ", "a b ", "a bc ", "a bc ", "a bc d ", "é é ", "é è "]
+    assert suffixes.common_words(pa.array(texts)).tolist() == [0, 1, 1, 2, 2, 0, 1]
+
+
+def test_windows_wider_than_a_passage(documents):
+    with pytest.raises(ValueError, match="window"):
+        suffixes.suffixes(documents([]), length=10, window=11)
+
+
+def test_wide_windows(documents):
+    rows = corpus(4, docs=25)
+    found = suffixes.repeats(documents(rows), length=40, window=35, gram=2).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found} == {k: v[0] for k, v in brute(rows, 40).items()}
+    long = [(k, " ".join(f"x{j}" for j in range(k, 700 + k))) for k in range(2)]
+    found = suffixes.repeats(documents(long), length=400, window=350, gram=2).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found} == {k: v[0] for k, v in brute(long, 400).items()}
+
+
 def test_fifty_words(documents):
     draw = random.Random(4)
     passage = " ".join(f"q{draw.randint(0, 9000)}" for _ in range(55))
