@@ -58,8 +58,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 ids."""
-    return packing.packed_documents(docs, bpe.tokenizer_json_of_file(public_tokenizers.path("byte_bpe_50k.json")))
+    """All documents in sequences of at most 2048 ids, with the ids of each piece."""
+    return packing.packed_documents(docs, bpe.tokenizer_json_of_file(public_tokenizers.path("byte_bpe_50k.json")), with_ids=True)
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
