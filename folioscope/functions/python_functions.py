@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from folioscope.functions.profiles import LEASE_MARKERS
 
 # Tags that break lines, marks that order text, variants that stand for markers, and patterns of direct values.
 BREAKS = ("br", "div", "li", "p", "table", "tr")
-BIDI_MARKS = "؜‎‏‪‫‬‭‮⁦⁧⁨⁩"
+BIDI_MARKS = "‎‏‪‫‬‭‮⁦⁧⁨⁩"
 MARKER_VARIANTS = {
     "שוכר": ("השוכר", "חשוכר", "חשוכך", "השוכך"),
     "משכיר": ("המשכיר", "חמשכיר", "חמשכיך", "המשכיך"),
@@ -27,16 +27,34 @@ MARKER_VARIANTS = {
     'ע"י': ('ע"י', "עי", "עייי"),
     'ב"כ': ('ב"כ', "בכ", "בייכ"),
 }
-MIRRORED = str.maketrans("()[]{}<>«»", ")(][}{><»«")
+MIRRORED = str.maketrans("()[]{}<>", ")(][}{><")
 DIRECT = {
     "bank_identifier": re.compile(r"(?<![A-Z0-9])IL(?:[ -]?\d){21}(?![A-Z0-9@])", re.I),
     "email": re.compile(r"(?<![A-Z0-9._%+-])[A-Z0-9](?:[A-Z0-9._%+-]{0,62}[A-Z0-9])?@(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,63}(?![A-Z0-9-])", re.I),
     "phone": re.compile(r"(?<!\d)(?:\+972[ -]?|0)(?:5\d|[23489]|7[0-9])[ -]?\d{3}[ -]?\d{4}(?!\d)"),
     "israeli_id": re.compile(r"(?<!\d)\d(?:[ -]?\d){8}(?!\d)"),
 }
+MARKER_WORD = re.compile("[\u0590-\u05FF]+(?:[\"׳'][\u0590-\u05FF]+)?")
 # End of the fixed values.
 
-_TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|</?([A-Za-z][^\s/>]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+ALL_BIDI_MARKS = BIDI_MARKS + "\u061c"
+
+
+class _PageText(HTMLParser):
+    """Collects the character data of a page, with a line break for each block tag."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts: list[str] = []
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in BREAKS:
+            self.parts.append("\n")
+
+    handle_endtag = lambda self, tag: self.handle_starttag(tag, None)
 
 
 def nfc_text(x: str | None) -> str | None:
@@ -50,13 +68,15 @@ def folded_text(x: str | None) -> str | None:
     """Compatibility form, without direction and combining marks; all but letters and digits is a space."""
     if x is None:
         return None
-    plain = (c for c in unicodedata.normalize("NFKC", x) if c not in BIDI_MARKS and unicodedata.category(c) != "Mn")
+    plain = (c for c in unicodedata.normalize("NFKC", x) if c not in ALL_BIDI_MARKS and unicodedata.category(c) != "Mn")
     return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
 
 
 def html_text(x: str | None) -> str:
     """Text of a page: line breaks at block tags, entities decoded, white space of each line collapsed."""
-    plain = html.unescape(_TAG.sub(lambda m: "\n" if (m[1] or "").lower() in BREAKS else "", x or ""))
+    reader = _PageText()
+    reader.feed(x or "")
+    plain = "".join(reader.parts)
     return "\n".join(line for line in (" ".join(part.split()) for part in plain.splitlines()) if line)
 
 
@@ -224,7 +244,7 @@ def _hebrew(x: str) -> str:
 def fuzzy_markers(x: str | None, markers: tuple[str, ...] = LEASE_MARKERS) -> dict[str, str]:
     """Markers that a text holds, as the form found: exact, a known variant, or the most similar run of words."""
     text = x or ""
-    tokens = re.findall("[֐-׿]+(?:[\"'״׳][֐-׿]+)*", text)
+    tokens = MARKER_WORD.findall(text)
     compact = _hebrew(text)
     runs: dict[int, list[tuple[str, SequenceMatcher]]] = {}  # by the number of words
 

@@ -72,8 +72,13 @@ def numbers_supported(source: Column, claim: Column, strict: bool = False) -> Co
     return missing if strict else missing | (F.size(numbers(source)) == 0)
 
 
+#: Runs of white space, with the separators that are control characters.
+WHITE = r"(?U)[\s\x1c-\x1f]+"
+
+
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """A text without white space at its ends and with one space for each other run of it; Unicode white space counts."""
+    return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
 def quote_exists(quote: Column, source: Column) -> Column:

@@ -35,8 +35,8 @@ def threshold_sweep(df: DataFrame, target: str, score: str) -> DataFrame:
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(target).cast("long")).alias("_p"), F.sum(1 - F.col(target).cast("long")).alias("_n"))
     ends = df.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "threshold double, _p long, _n long")
     counts = counts.unionByName(ends).groupBy("threshold").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    # two levels: running sums in ranges of scores, and the ranges' own running sums (101 of them)
-    counts = counts.withColumn("_range", F.floor(F.col("threshold") * 100))
+    # two levels: running sums in ranges of scores, and the ranges' own running sums (103 of them at most, whatever the scores)
+    counts = counts.withColumn("_range", F.least(F.greatest(F.floor(F.col("threshold") * 100), F.lit(-1)), F.lit(101)))
     inner = Window.partitionBy("_range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     outer = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = counts.groupBy("_range").agg(F.sum("_p").alias("_rp"), F.sum("_n").alias("_rn"))

@@ -59,8 +59,9 @@ def sections_by_header(df: DataFrame, key: str, position: str, line: str, header
 
 def token_windows(tokens: Column, n: int) -> Column:
     """Runs of n - 1, n and n + 1 tokens, joined by a space."""
-    def of(k: int) -> Column:
+    def of(tokens: Column, k: int) -> Column:
         starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - k + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, k), " "))
 
-    return F.flatten(F.array(*(of(k) for k in (n - 1, n, n + 1) if k > 0)))
+    # the tokens are made once for each row, not once for each window
+    return F.element_at(F.transform(F.array(tokens), lambda t: F.flatten(F.array(*(of(t, k) for k in (n - 1, n, n + 1) if k > 0)))), 1)

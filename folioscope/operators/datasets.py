@@ -62,19 +62,21 @@ def summary(rows: DataFrame) -> DataFrame:
     return out
 
 
-def leakage(training: DataFrame, gold: DataFrame) -> DataFrame:
-    """(gold_id, kind, sample_id): training rows of the same image or text; the greatest sample id stands for several."""
+def leakage(training: DataFrame, gold: DataFrame, position: str | None = None) -> DataFrame:
+    """(gold_id, kind, sample_id): training rows of the same image or text; of several the last by ``position`` (without one: the greatest sample id)."""
     found = []
     for c in ("image_sha256", "text_sha256"):
-        held = training.filter(F.col(c).isNotNull()).groupBy(c).agg(F.max("sample_id").alias("sample_id"))
+        held = training.filter(F.col(c).isNotNull()).groupBy(c).agg(F.max_by("sample_id", F.struct(position, "sample_id") if position else F.col("sample_id")).alias("sample_id"))
         found.append(gold.join(held, c).select("gold_id", F.lit(c).alias("kind"), "sample_id"))
     return found[0].unionByName(found[1])
 
 
 def class_ids(text: Column, charset: list[str]) -> Column:
     """A text as ids of its characters (the first has id 1; 0 is the blank); null for a character that the set lacks."""
-    ids = F.create_map(*(x for k, c in enumerate(charset, 1) for x in (F.lit(c), F.lit(k))))
-    each = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.element_at(ids, c))
+    if any(len(c) != 1 for c in charset) or len(set(charset)) < len(charset):
+        raise ValueError("a character set has single characters, each once")
+    known = F.lit("".join(charset))
+    each = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.nullif(F.position(c, known), F.lit(0)))
     return F.when(F.exists(each, lambda x: x.isNull()), None).otherwise(each)
 
 

@@ -89,16 +89,23 @@ def span_words(spans: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
 
 
 def resolve_references(rows: DataFrame, targets: DataFrame, key: str, ids: str, target_id: str, payload: str, by: list[str] | None = None) -> DataFrame:
-    """Adds resolved (payloads in the ids' first-seen order) and invalid (ids without a target)."""
+    """Adds resolved (payloads in the ids' first-seen order) and invalid (ids without a target).
+
+    ``by`` narrows rows and targets to those of one group; rows that share a key in it, with other ids or the same, are resolved each.
+    """
+    own = [*(by or []), key, ids]
     by = by or []
-    each = rows.select(key, *by, F.posexplode(F.array_distinct(ids)).alias("_pos", "_id"))
+    each = rows.select(*own).distinct().select(*own, F.posexplode(F.array_distinct(ids)).alias("_pos", "_id"))
     t = targets.select(*by, F.col(target_id).alias("_id"), F.col(payload).alias("_payload"), F.lit(True).alias("_hit"))
     joined = each.join(t, [*by, "_id"], "left")
-    found = joined.groupBy(key).agg(
+    found = joined.groupBy(*own).agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("_hit"), F.struct("_pos", "_payload")))), lambda x: x["_payload"]).alias("resolved"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("_hit").isNull(), F.struct("_pos", "_id")))), lambda x: x["_id"]).alias("invalid"),
     )
-    return rows.join(found, key, "left")
+    found = found.select(*(F.col(c).alias(f"_own{k}") for k, c in enumerate(own)), "resolved", "invalid")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_own{k}")) for k, c in enumerate(own)))
+    none = F.array()
+    return rows.join(found, same, "left").drop(*(f"_own{k}" for k in range(len(own)))).withColumns({c: F.coalesce(c, none.cast(found.schema[c].dataType)) for c in ("resolved", "invalid")})
 
 
 def compare_null_safe(expected: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:

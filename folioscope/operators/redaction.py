@@ -71,5 +71,5 @@ def residual_findings(text: Column, patterns: dict[str, str]) -> Column:
 def remove_tokens(text: Column, tokens: Column, placeholder: str) -> Column:
     """A text without the given tokens, longest first; tokens are literal and end at word ends."""
     ordered = F.array_sort(F.filter(tokens, lambda t: F.length(t) > 0), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))
-    quoted = lambda t: F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))
+    quoted = lambda t: F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
     return F.aggregate(ordered, text, lambda x, t: F.regexp_replace(x, quoted(t), F.lit(_replacement(placeholder))))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 PAGE_PENALTY = 0.32
 
 
-def _choose(pool: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame:
+def _choose(pool: pd.DataFrame, quotas: dict[str, int], whole: bool) -> pd.DataFrame:
     pool = pool.sort_values(["page", "line"], kind="stable").reset_index(drop=True)
     cap = max(2, math.ceil(sum(quotas.values()) / max(pool["page"].nunique(), 1)) + 2)
     page_code, _ = pd.factorize(pool["page"])
@@ -25,6 +25,8 @@ def _choose(pool: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame:
             load = taken[page_code]
             open_to = free & (load < cap) & np.isfinite(worth)
             if not open_to.any():
+                if whole:
+                    raise ValueError(f"the quota of {category} cannot be filled in group {pool['group_id'].iloc[0]}")
                 break
             value = np.where(open_to, worth - PAGE_PENALTY * load, -np.inf)
             # among equals: the page with fewer picks, then the earlier page and line (rows are in that order)
@@ -37,10 +39,10 @@ def _choose(pool: pd.DataFrame, quotas: dict[str, int]) -> pd.DataFrame:
     return out
 
 
-def greedy_quota(df: DataFrame, quotas: dict[str, int]) -> DataFrame:
+def greedy_quota(df: DataFrame, quotas: dict[str, int], whole: bool = False) -> DataFrame:
     """Picks of each group_id: rows (item_id, page, line, score, and a score or null for each category).
 
-    A group must fit one task; an unfilled quota gives fewer rows.
+    A group must fit one task; an unfilled quota raises where ``whole`` is set, and gives fewer rows else.
     """
     schema = "group_id string, item_id string, page long, line long, category string, rank int"
-    return df.groupBy("group_id").applyInPandas(lambda pool: _choose(pool, quotas), schema)
+    return df.groupBy("group_id").applyInPandas(lambda pool: _choose(pool, quotas, whole), schema)

@@ -77,9 +77,8 @@ def analysis_readiness(spark, sf_dir):
     return D.readiness(state, blocks, rules, provided).withColumn("missing", F.array_join("missing", ","))
 
 
-@query("class_id_texts", "SELECT doc_id, CASE WHEN regexp_matches(head, '^[ a-z]*$') THEN list_sum(list_transform(list_filter(string_split(head, ''), lambda c: c <> ''), lambda c: CASE WHEN c = ' ' THEN 1 ELSE ascii(c) - 95 END)) END::BIGINT AS ids FROM (SELECT doc_id, lower(substr(text, 1, 12)) AS head FROM documents)")
+@query("class_id_texts", r"SELECT doc_id, CASE WHEN regexp_matches(text, '^[ -~\n]*$') THEN coalesce(list_sum(list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: CASE WHEN c = chr(10) THEN 96 ELSE ascii(c) - 31 END)), 0) END::BIGINT AS ids FROM documents")
 def class_id_texts(spark, sf_dir):
-    """Sums of the class ids of each text's first characters; null where one is not in the set."""
-    charset = [" ", *(chr(c) for c in range(97, 123))]
-    ids = D.class_ids(F.lower(F.substring("text", 1, 12)), charset)
+    """Sums of the class ids of each text's characters; null where one is not in the set."""
+    ids = D.class_ids(F.col("text"), [*map(chr, range(32, 127)), "\n"])
     return table(spark, sf_dir, "documents").select("doc_id", F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
