@@ -25,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import WHITE, span_hashes, text_slices
+from folioscope.llm.workspace import map_arrow
 
 #: Pieces in a worker's cache at most, bytes up to which pieces are told apart by the fast hash, and bytes that are encoded at once.
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 18
 PIECE_BYTES = 64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Pieces in one call of the library, whose results take a hundred bytes an id.
+CALL_PIECES = 1 << 15
 
 # A piece may start with a plain space only before a byte that begins no white space: neither ASCII white space
 # and control separators nor a lead byte of the other Unicode spaces.
@@ -170,11 +173,11 @@ class Encoder:
             s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
             k = int(alone.sum())
             texts = [whole[a:b].decode("utf-8") for a, b in zip(s[:k], e[:k], strict=True)]
-            found = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
+            found = [x.ids for a in range(0, k, CALL_PIECES) for x in self.library.encode_batch(texts[a : a + CALL_PIECES], add_special_tokens=False)]
             count[new[:k]] = np.fromiter(map(len, found), np.int64, k)
-            joined = b"".join([whole[a:b] for a, b in zip(s[k:], e[k:], strict=True)])
-            spaced = np.array(self.library.encode(joined.decode("utf-8"), add_special_tokens=False).ids, dtype=np.uint32)
-            if int(self.token_sizes[spaced].sum()) != len(joined):
+            joined = [b"".join([whole[a:b] for a, b in zip(s[at : at + CALL_PIECES], e[at : at + CALL_PIECES], strict=True)]) for at in range(k, len(s), CALL_PIECES)]
+            spaced = np.concatenate([np.zeros(0, np.uint32), *(np.array(self._whole(x.decode("utf-8")), dtype=np.uint32) for x in joined)])
+            if int(self.token_sizes[spaced].sum()) != sum(map(len, joined)):
                 raise ValueError("a text is not valid UTF-8")
             stops = np.searchsorted(np.cumsum(self.token_sizes[spaced]), np.cumsum((ends - starts)[where[new[k:]]])) + 1
             count[new[k:]] = np.diff(stops, prepend=0)
@@ -262,7 +265,7 @@ def encode_columns(df: DataFrame, definition: str, text: str = "text", with_text
                 lists = {n: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v.astype(np.int32))) for n, v in zip(made, (ids, starts, ends), strict=True)}
                 yield with_rows(rows, keep, lists)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def decode_column(df: DataFrame, definition: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -277,7 +280,7 @@ def decode_column(df: DataFrame, definition: str, ids: str = "ids", to: str = "d
             texts = [None if v is None else own.decode_text(np.array(v, dtype=np.int64)) for v in values]
             yield with_rows(batch, keep, {to: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def round_trip_digests(df: DataFrame, definition: str, text: str = "text") -> DataFrame:
@@ -304,4 +307,4 @@ def round_trip_digests(df: DataFrame, definition: str, text: str = "text") -> Da
                     decoded.append(hashlib.sha256(own.decode_bytes(part)).hexdigest())
                 yield with_rows(rows, keep, dict(zip(made, (pa.array(np.diff(first)), pa.array(digests), pa.array(decoded), pa.array(places, pa.int64())), strict=True)))
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import mix, ngram_hashes, span_hashes, text_slices, word_bounds
 from folioscope.llm.components import connected_components
-from folioscope.llm.workspace import discard, written
+from folioscope.llm.workspace import bounded_batches, discard, map_arrow, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Minima in a band, and the share of pairs at the threshold that must meet in a bucket.
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
                     made.append(pa.array(whole, mask=none))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(np.diff(offs)), *made], names=["doc_id", "k1", "k2", "size", *names])
 
-    return source.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, size long, " + ", ".join(f"{n} long" for n in names))
+    return map_arrow(source, run, f"doc_id {kind}, k1 long, k2 long, size long, " + ", ".join(f"{n} long" for n in names))
 
 
 def with_keys(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -103,7 +103,7 @@ def with_keys(docs: DataFrame, text: str = "text") -> DataFrame:
                 k1, k2 = word_keys(span_hashes(raw, starts, ends), first)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(k1, mask=none), pa.array(k2, mask=none)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -243,7 +243,7 @@ def _links(members: DataFrame, shingle: int, threshold: float) -> DataFrame:
         node, links, root = _blocks_links(rows, shingle, threshold)
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], names=["node", "links", "root"])
 
-    return blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).select(*names).mapInArrow(run, "node long, links long, root long")
+    return map_arrow(blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).select(*names), run, "node long, links long, root long")
 
 
 def _groups(found: DataFrame, nodes: DataFrame, dealt: DataFrame, buckets: DataFrame, bands: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -265,6 +265,7 @@ def _groups(found: DataFrame, nodes: DataFrame, dealt: DataFrame, buckets: DataF
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, with_key: bool = False) -> DataFrame:
     """doc_id, class_id and n_links of every document; ``with_key`` adds k1, k2 (its words) and class_key."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marks = written(signatures(source, "doc_id", "text", shingle, threshold, rows, recall), "signatures")
     names = [c for c in marks.columns if c.startswith("b")]

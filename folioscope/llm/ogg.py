@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import text_buffers
+from folioscope.llm.workspace import map_arrow
 
 CONTINUED, BEGIN, END = 1, 2, 4
 #: Samples in a second, and in a packet.
@@ -226,4 +227,4 @@ def media_columns(df: DataFrame, text: str = "text", keep_media: bool = False, b
                 kept = [part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[n], pa.binary() if n == "media" else COLUMNS[n][1]) for n in names)], names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import text_slices
 from folioscope.llm.bpe import SLICE_BYTES, encoder
-from folioscope.llm.workspace import written
+from folioscope.llm.workspace import bounded_batches, map_arrow, written
 
 SIZE = 2048
 END_ID = 1
@@ -105,6 +105,7 @@ def slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 
 def pieces(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Documents as pieces of at most ``size`` ids: doc_id, start, length, ids_crc32, doc_tokens, and the ids if asked for."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([source.schema["doc_id"]])
     made = ["start", "length", "ids_crc32", "doc_tokens"]
@@ -137,7 +138,7 @@ def pieces(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str =
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(whole)), pa.int32()), pa.array(whole.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def pack(cut: DataFrame, size: int = SIZE, keys: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
@@ -170,7 +171,7 @@ def pack(cut: DataFrame, size: int = SIZE, keys: tuple[str, ...] = ("doc_id", "s
 
     if not total:
         return spark.createDataFrame([], schema)
-    return out.mapInArrow(run, schema)
+    return map_arrow(out, run, schema)
 
 
 def packed_documents(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, with_ids: bool = False) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import LOWER, mix, row_of, span_hashes, text_slices, word_bounds
 from folioscope.llm.bpe import kept_columns, with_rows
+from folioscope.llm.workspace import bounded_batches, map_arrow
 
 #: Labelled rows that the model is fitted to at most, and the bytes of their texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 1 << 27
@@ -31,7 +32,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 1 << 27
 TRIGRAMS, WORDS = 1 << 15, 1 << 15
 FEATURES = TRIGRAMS + WORDS
 #: Rows and bytes in one matrix of indicators.
-BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
+BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 19
 SMOOTHING, COST, EPOCHS, SEED = 1.0, 0.05, 12, 11
 
 
@@ -170,6 +171,7 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features and labels of at most ``rows`` labelled documents that are not held out, of ``most`` bytes of text together."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
     # labels of documents that are not there take no place in the sample
     there = known.join(docs.select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
@@ -187,7 +189,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: s
                 data = pa.array([features[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.large_binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), data.cast(pa.binary())], names=["id", "label", "features"])
 
-    kept = cut.select("_id", "_text", "_label").mapInArrow(run, "id string, label int, features binary").toArrow().sort_by([("id", "ascending")])
+    kept = map_arrow(cut.select("_id", "_text", "_label"), run, "id string, label int, features binary").toArrow().sort_by([("id", "ascending")])
     data = [x.as_py() for x in kept.column("features")]
     first = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data], dtype=np.int64)]).astype(np.int64)
     return np.frombuffer(b"".join(data), np.uint16), first, np.array(kept.column("label").to_pylist(), dtype=np.int64)
@@ -195,6 +197,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: s
 
 def scored(docs: DataFrame, model: Model, text: str = "text", with_text: bool = False) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from 0.5 on)."""
+    bounded_batches(docs.sparkSession)
     made = ["score", "predicted"]
     keep = kept_columns(docs, made, text, with_text)
     source = docs.select(*dict.fromkeys([*keep, text]))
@@ -207,7 +210,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", with_text: bool =
                 score = own.value.scores(raw, offs)
                 yield with_rows(rows, keep, {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def classifier(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Model:

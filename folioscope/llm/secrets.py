@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import text_slices
 from folioscope.llm.bpe import kept_columns, read_ranks, with_rows
+from folioscope.llm.workspace import bounded_batches, map_arrow
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -262,6 +263,7 @@ _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", p
 
 def secret_spans(df: DataFrame, words: dict[str, float], text: str = "text", with_text: bool = True, to: str = "secrets") -> DataFrame:
     """Adds each text's spans as an array of (kind, start, end, cost). ``words`` has a fixed size and goes to all tasks."""
+    bounded_batches(df.sparkSession)
     keep = kept_columns(df, [to], text, with_text)
     source = df.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([source.schema[c] for c in keep]).add(to, T.ArrayType(SPAN))
@@ -275,7 +277,7 @@ def secret_spans(df: DataFrame, words: dict[str, float], text: str = "text", wit
                     found[i] = [dict(zip(("kind", "start", "end", "cost"), s, strict=True)) for s in spans(raw[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"), guess)]
                 yield with_rows(rows, keep, {to: pa.array(found, pa.list_(_ARROW_SPAN))})
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def of_kind(found: Column | str, kind: str) -> Column:

@@ -28,12 +28,12 @@ from pyspark.sql import types as T
 from folioscope.llm.arrow_text import mix, row_of, span_hashes, text_buffers, text_slices, word_bounds
 from folioscope.llm.arrow_text import _power as power
 from folioscope.llm.jaccard import with_keys, word_keys
-from folioscope.llm.workspace import discard, written
+from folioscope.llm.workspace import bounded_batches, discard, map_arrow, written
 
 #: Words of a passage at least, words among which a minimiser is chosen, and words that decide it.
 LENGTH, WINDOW, GRAM = 50, 40, 3
 #: Bytes of the sorted suffixes of a task, and rows of them that are compared at once.
-PART_BYTES, SEGMENT_ROWS = 1 << 24, 1 << 15
+PART_BYTES, SEGMENT_ROWS = 1 << 23, 1 << 13
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SECOND = 0xE7037ED1A0B428DB
@@ -125,7 +125,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram:
                     names=["doc_id", "k1", "prefix", "around", "around2", "pos", "chars", "times"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, k1 long, prefix long, around long, around2 long, pos long, chars long, times long")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, k1 long, prefix long, around long, around2 long, pos long, chars long, times long")
 
 
 def _second(words: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def contexts(held: DataFrame, length: int = LENGTH) -> DataFrame:
                     names=["doc_id", *(x.split()[0] for x in CONTEXT.split(", "))],
                 )
 
-    return held.select("doc_id", "k1", "text", "places").mapInArrow(run, f"doc_id {kind}, {CONTEXT}")
+    return map_arrow(held.select("doc_id", "k1", "text", "places"), run, f"doc_id {kind}, {CONTEXT}")
 
 
 def common_words(texts: pa.Array) -> np.ndarray:
@@ -343,11 +343,12 @@ def neighbours(suffix: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
             yield from made(rest.combine_chunks(), (known, False))
 
     sort = suffix.select(*names).repartitionByRange(parts, "ahead", "behind").sortWithinPartitions("ahead", "behind")
-    return sort.mapInArrow(run, f"doc_id {kind}, k1 long, s long, chars long, leads boolean, w1 long, w2 long")
+    return map_arrow(sort, run, f"doc_id {kind}, k1 long, s long, chars long, leads boolean, w1 long, w2 long")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, k1, spans, removed) of each document with a repeat; spans are (start, end) in code points, end exclusive."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kept = written(suffixes(source, length, window, gram), "suffixes")
     # sides of joins that come from an aggregate are written, so that joins are of plain shuffles and hot keys can be split
@@ -429,7 +430,7 @@ def merged(rows: DataFrame) -> DataFrame:
                     out.append([{"start": x, "end": y} for x, y in found.tolist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _ARROW_SPANS), pa.array(removed, _ARROW_SPANS)], names=schema.names)
 
-    return grouped.mapInArrow(run, schema)
+    return map_arrow(grouped, run, schema)
 
 
 def cut_out(text: Column, removed: Column) -> Column:

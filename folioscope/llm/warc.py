@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected_components
-from folioscope.llm.workspace import folder, written
+from folioscope.llm.workspace import folder, map_arrow, written
 
 #: Records of one archive file at most, and bytes that its payloads should have at most.
 FILE_RECORDS, FILE_BYTES = 3000, 1 << 26
@@ -169,7 +169,7 @@ def records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz,txt,txt.gz}").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    return map_arrow(files, run, RECORD)
 
 
 def transactions(found: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ machine) is a folder of our own set.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +25,47 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of text that go to a Python worker at once, at most (one longer row goes alone).
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for this session, so that an executor's memory holds few texts at once outside its heap; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        size = int("".join(c for c in now if c.isdigit() or c == "-")) if now else 0
+        if not (now and now.lstrip("-").isdigit() and 0 < size <= most):
+            spark.conf.set(key, str(most))
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, with memory that a batch left free given back before the next, so that idle workers stay small."""
+    def tidy(batches):
+        yield from run(_returning(batches))
+
+    return df.mapInArrow(tidy, schema)
+
+
+def _returning(batches):
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+
+
+def _find_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another allocator than glibc's
+        return None
+
+
+_trim = _find_trim()
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
