@@ -28,11 +28,11 @@ from folioscope.llm.arrow_text import WHITE, span_hashes, text_slices
 from folioscope.llm.workspace import map_arrow
 
 #: Pieces in a worker's cache at most, bytes up to which pieces are told apart by the fast hash, and bytes that are encoded at once.
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 19
 PIECE_BYTES = 64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 21
 #: Pieces in one call of the library, whose results take a hundred bytes an id.
-CALL_PIECES = 1 << 15
+CALL_PIECES = 1 << 12
 
 # A piece may start with a plain space only before a byte that begins no white space: neither ASCII white space
 # and control separators nor a lead byte of the other Unicode spaces.
@@ -110,7 +110,8 @@ class Encoder:
         self.decimals = np.array([str(i) for i in range(size)], dtype=object)
         flat = [t or b"" for t in table]
         self.flat = np.frombuffer(b"".join(flat), np.uint8)
-        self.flat_begin = np.concatenate([[0], np.cumsum([len(t) for t in flat])])[:-1]
+        self.small_sizes = np.array([len(t) for t in flat], dtype=np.int32)
+        self.flat_begin = np.cumsum(self.small_sizes, dtype=np.int32) - self.small_sizes
         self.most = cache_pieces
         self.keys = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int32)
@@ -121,6 +122,10 @@ class Encoder:
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _fast(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts, without the offsets that the library keeps else."""
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     @staticmethod
     def _spaced(text: str) -> list[str]:
         raw = text.encode()
@@ -129,9 +134,9 @@ class Encoder:
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids of the vocabulary, as an array."""
-        sizes = self.token_sizes[ids]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.flat_begin[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        sizes = self.small_sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        return self.flat[np.repeat(self.flat_begin[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, each row's first id and one more at the end) for UTF-8 bytes and row offsets."""
@@ -173,10 +178,10 @@ class Encoder:
             s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
             k = int(alone.sum())
             texts = [whole[a:b].decode("utf-8") for a, b in zip(s[:k], e[:k], strict=True)]
-            found = [x.ids for a in range(0, k, CALL_PIECES) for x in self.library.encode_batch(texts[a : a + CALL_PIECES], add_special_tokens=False)]
+            found = [ids for a in range(0, k, CALL_PIECES) for ids in self._fast(texts[a : a + CALL_PIECES])]
             count[new[:k]] = np.fromiter(map(len, found), np.int64, k)
             joined = [b"".join([whole[a:b] for a, b in zip(s[at : at + CALL_PIECES], e[at : at + CALL_PIECES], strict=True)]) for at in range(k, len(s), CALL_PIECES)]
-            spaced = np.concatenate([np.zeros(0, np.uint32), *(np.array(self._whole(x.decode("utf-8")), dtype=np.uint32) for x in joined)])
+            spaced = np.concatenate([np.zeros(0, np.uint32), *(np.array(ids, dtype=np.uint32) for ids in self._fast([x.decode("utf-8") for x in joined]))])
             if int(self.token_sizes[spaced].sum()) != sum(map(len, joined)):
                 raise ValueError("a text is not valid UTF-8")
             stops = np.searchsorted(np.cumsum(self.token_sizes[spaced]), np.cumsum((ends - starts)[where[new[k:]]])) + 1
