@@ -20,7 +20,7 @@ def judged_claims(claims: DataFrame, blocks: DataFrame, documents: DataFrame, on
 
     documents: (doc_id, text, pages). Cited blocks must exist and hold the claim's numbers; a claim without blocks stands by a quote
     that the document has, on a page that it has (any page where it has none). ``on_failure``: drop, or downgrade to level unclear and confidence 0.3 at
-    most. ``strict``: whether a source without numbers supports none; None leaves numbers alone. A claim's ``level``, if it has one, is kept.
+    most. ``strict``: whether a source without numbers supports none; None, and a downgrade, leave numbers alone. A claim's ``level``, if it has one, is kept.
     """
     placed = blocks.select("doc_id", "block_id", F.struct("text", "page").alias("_block"))
     cited = resolve_references(claims, placed, "claim_id", "evidence_block_ids", "block_id", "_block", ["doc_id"])
@@ -31,7 +31,7 @@ def judged_claims(claims: DataFrame, blocks: DataFrame, documents: DataFrame, on
     on_page = F.col("page").isNull() | F.coalesce(F.size("_pages") < 1, F.lit(True)) | F.array_contains("_pages", F.col("page"))
     quoted = F.coalesce(quote_exists(F.col("quote"), F.col("_text")) & on_page, F.lit(False))
     downgrade = on_failure == "downgrade"
-    backed = F.lit(True) if strict is None else numbers_supported(F.when(none, F.col("quote")).otherwise(source), F.col("claim"), strict)
+    backed = F.lit(True) if downgrade or strict is None else numbers_supported(F.when(none, F.col("quote")).otherwise(source), F.col("claim"), strict)
     reason = (
         F.when(~none & (F.size("invalid") > 0), "invalid_block")
         .when(none & ~quoted, "missing_evidence")

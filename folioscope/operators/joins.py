@@ -89,7 +89,7 @@ def span_words(spans: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
 
 
 def resolve_references(rows: DataFrame, targets: DataFrame, key: str, ids: str, target_id: str, payload: str, by: list[str] | None = None) -> DataFrame:
-    """Adds resolved (payloads in the ids' first-seen order) and invalid (ids without a target).
+    """Adds resolved (payloads in the ids' first-seen order) and invalid (ids without a target); null for a row without ids.
 
     ``by`` narrows rows and targets to those of one group; rows that share a key in it, with other ids or the same, are resolved each.
     """
@@ -104,8 +104,7 @@ def resolve_references(rows: DataFrame, targets: DataFrame, key: str, ids: str,
     )
     found = found.select(*(F.col(c).alias(f"_own{k}") for k, c in enumerate(own)), "resolved", "invalid")
     same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_own{k}")) for k, c in enumerate(own)))
-    none = F.array()
-    return rows.join(found, same, "left").drop(*(f"_own{k}" for k in range(len(own)))).withColumns({c: F.coalesce(c, none.cast(found.schema[c].dataType)) for c in ("resolved", "invalid")})
+    return rows.join(found, same, "left").drop(*(f"_own{k}" for k in range(len(own))))
 
 
 def compare_null_safe(expected: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -144,11 +144,12 @@ def review_problems(spark, sf_dir):
 
 @query(
     "block_packets",
-    """WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem)
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS n FROM lineitem)
     SELECT l_orderkey, CASE WHEN count(*) <= 5 THEN string_agg(printf('B%02d: ', n) || l_returnflag, chr(10) ORDER BY n) END AS packet, CASE WHEN count(*) <= 5 THEN count(*) END AS blocks FROM l GROUP BY l_orderkey""",
 )
 def block_packets(spark, sf_dir):
-    return C.packet(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", "l_returnflag", 5)
+    lines = table(spark, sf_dir, "lineitem").withColumn("place", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
+    return C.packet(lines, ["l_orderkey"], "place", "l_returnflag", 5)
 
 
 @query(
