@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from folioscope.llm.arrow_text import LOWER, mix, row_of, span_hashes, text_slices, word_bounds
 from folioscope.llm.bpe import kept_columns, with_rows
-from folioscope.llm.workspace import bounded_batches, map_arrow
+from folioscope.llm.workspace import bounded_batches, discard, map_arrow, written
 
 #: Labelled rows that the model is fitted to at most, and the bytes of their texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 16_000, 1 << 27
@@ -179,8 +179,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: s
     # at most ``rows`` ids, a parameter; one text for each, and as many in the order of their hashes as the bytes allow
     found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
     single = found.groupBy("_id").agg(F.min("_label").alias("_label"), F.min(F.struct(F.xxhash64("_text").alias("hash"), F.col("_text").alias("text"))).alias("_least"))
-    so_far = F.sum(F.octet_length("_least.text").cast("long")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
-    cut = single.select("_id", "_label", F.col("_least.text").alias("_text"), so_far.alias("_sum")).filter(F.col("_sum") <= most)
+    single = written(single.select("_id", "_label", F.col("_least.text").alias("_text")), "sample")
+    so_far = F.sum(F.octet_length("_text").cast("long")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    # ids and sizes alone, at most ``rows`` of them, go through one task
+    fits = single.select("_id", so_far.alias("_sum")).filter(F.col("_sum") <= most).select("_id")
+    cut = single.join(F.broadcast(fits), "_id")
 
     def run(batches):
         for batch in batches:
@@ -190,6 +193,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: s
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), data.cast(pa.binary())], names=["id", "label", "features"])
 
     kept = map_arrow(cut.select("_id", "_text", "_label"), run, "id string, label int, features binary").toArrow().sort_by([("id", "ascending")])
+    discard(single)
     data = [x.as_py() for x in kept.column("features")]
     first = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data], dtype=np.int64)]).astype(np.int64)
     return np.frombuffer(b"".join(data), np.uint16), first, np.array(kept.column("label").to_pylist(), dtype=np.int64)
