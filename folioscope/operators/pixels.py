@@ -54,6 +54,8 @@ def components(hit: np.ndarray) -> np.ndarray:
             for dx in range(3):
                 near = padded[dy : dy + hit.shape[0], dx : dx + hit.shape[1]]
                 best = np.where(hit & (near > 0), np.minimum(best, near), best)
+        # a label names a pixel; that pixel's own label is as low or lower, so long paths close in few rounds
+        best = np.append(0, best.ravel())[best]
         if (best == label).all():
             return np.unique(label, return_inverse=True)[1].reshape(hit.shape) + (0 if (label == 0).any() else 1)
         label = best

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from folioscope.plans import contracts, datasets, decisions, gates, geometry, joins, ordered, python_backed, summaries, texts, validators  # noqa: F401
+from folioscope.plans import bags, contracts, datasets, decisions, gates, geometry, joins, ordered, python_backed, summaries, texts, validators  # noqa: F401
 from folioscope.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
