@@ -192,7 +192,8 @@ def bag_scores(df: DataFrame, bag: str, logit: str, temperature: float = 0.5) ->
     each = df.select(bag, (F.col(logit) / temperature).alias("_z")).withColumnRenamed(bag, "_bag")
     mass = each.join(top, F.col("_bag").eqNullSafe(F.col(bag))).groupBy(bag, "_top").agg(F.avg(F.exp(F.col("_z") - F.col("_top"))).alias("_mean"))
     value = temperature * (F.col("_top") + F.ln("_mean"))
-    return mass.select(bag, value.alias("logit"), (1 / (1 + F.exp(-F.least(F.lit(40.0), F.greatest(F.lit(-40.0), value))))).alias("score"))
+    logistic = 1 / (1 + F.exp(-F.least(F.lit(40.0), F.greatest(F.lit(-40.0), value))))
+    return mass.select(bag, value.alias("logit"), F.when(value.isNotNull(), logistic).alias("score"))
 
 
 def fold_thresholds(df: DataFrame, fold: str, target: str, score: str, min_recall: float) -> DataFrame:
