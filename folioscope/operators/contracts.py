@@ -277,3 +277,47 @@ def replayed(events: DataFrame, by: list[str], order: list[str], event: str, sta
         return F.struct(F.coalesce(to, s["state"]).alias("state"), (s["refused"] + to.isNull().cast("int")).alias("refused"))
 
     return listed.withColumn("_end", F.aggregate("_events", begin, step)).select(*by, "_end.state", "_end.refused")
+
+
+def review_pack_problems(predictions: DataFrame, renderers: DataFrame, lines: DataFrame) -> DataFrame:
+    """(subject, problem) of a pack: predicted pages, their masked images and their lines, bound by image id, hash and size.
+
+    Subjects are image ids, for repeated ids of candidates and lines those ids. Each table comes down to one row for an id
+    before the join, so repeated ids multiply nothing; of repeated pages the least row is compared. A missing id matches none.
+    Columns: predictions (image_id, image_sha256, width, height, candidates: ids), renderers (image_id, source_image_sha256,
+    width, height, mask_count, masked_pixel_count), lines (page_id, line_id, order, source_master_sha256).
+    """
+
+    def one(df: DataFrame, name: str, *columns) -> DataFrame:
+        return df.groupBy(F.col("image_id").cast("string").alias("subject")).agg(F.count("*").alias(f"{name}_rows"), F.min(F.struct(*columns)).alias(name))
+
+    p = one(predictions, "p", F.col("image_sha256").alias("sha256"), "width", "height", F.size("candidates").alias("masks"))
+    d = one(renderers, "d", F.col("source_image_sha256").alias("sha256"), "width", "height", "mask_count", "masked_pixel_count")
+    sha = "source_master_sha256"
+    places = lines.groupBy(F.col("page_id").cast("string").alias("subject"), "order").agg(F.count("*").alias("n"), F.count(sha).alias("known"), F.min(sha).alias("least"), F.max(sha).alias("most"))
+    l = places.groupBy("subject").agg(  # noqa: E741
+        F.struct(F.sum("n").alias("n"), F.count("order").alias("orders"), F.min("order").alias("first"), F.max("order").alias("last"), F.sum("known").alias("known"), F.min("least").alias("least"), F.max("most").alias("most")).alias("l")
+    )
+    has = {c: F.col(c).isNotNull() for c in "pdl"}
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    in_order = (F.col("l.first") == 1) & (F.col("l.last") == F.col("l.n")) & (F.col("l.orders") == F.col("l.n"))
+    fits = F.col("d.masked_pixel_count").between(0, F.col("p.width").cast("long") * F.col("p.height"))
+    checks = {
+        "no_prediction": ~has["p"] & has["d"],
+        "unknown_page": ~has["p"] & has["l"],
+        "no_renderer": has["p"] & ~has["d"],
+        "repeated_image": (F.coalesce("p_rows", F.lit(0)) > 1) | (F.coalesce("d_rows", F.lit(0)) > 1),
+        "source_hash": has["p"] & has["d"] & differ("p.sha256", "d.sha256"),
+        "size": has["p"] & has["d"] & (differ("p.width", "d.width") | differ("p.height", "d.height")),
+        "mask_count": has["p"] & has["d"] & differ("p.masks", "d.mask_count"),
+        "masked_pixels": has["p"] & has["d"] & ~F.coalesce(fits, F.lit(False)),
+        "line_order": has["l"] & ~F.coalesce(in_order, F.lit(False)),
+        "line_hash": has["p"] & has["l"] & (differ("l.least", "p.sha256") | differ("l.most", "p.sha256") | (F.col("l.known") < F.col("l.n"))),
+    }
+    joined = p.join(d, "subject", "full_outer").join(l, "subject", "full_outer")
+    found = joined.select("subject", F.explode(F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in checks.items())))).alias("problem"))
+    ids = [("repeated_candidate", predictions.select(F.explode("candidates").alias("subject"))), ("repeated_line", lines.select(F.col("line_id").alias("subject")))]
+    for name, each in ids:
+        many = each.groupBy(F.col("subject").cast("string").alias("subject")).agg(F.count("*").alias("n")).filter("n > 1")
+        found = found.unionByName(many.select("subject", F.lit(name).alias("problem")))
+    return found

@@ -98,6 +98,22 @@ def charset_problems(characters: list[str]) -> list[str]:
     return found
 
 
+def charset_contract_problems(payload, version: int = 1) -> list[str]:
+    """Why a charset's JSON value breaks its contract: the list's own problems, the schema version and the places of blank and space."""
+    if not isinstance(payload, dict):
+        return ["not an object"]
+    characters = payload.get("characters")
+    if not isinstance(characters, list) or any(not isinstance(c, str) for c in characters):
+        found = ["the characters are no list of texts"]
+    else:
+        found = charset_problems(characters)
+    if payload.get("schema_version") != version:
+        found.append("another schema version")
+    if payload.get("ctc_blank_id") != 0:
+        found.append("the blank is not 0")
+    return found
+
+
 def merged_row_boxes(boxes: Column) -> Column:
     """Boxes by top and left, each merged into the last one kept where the two touch; a fold, not islands."""
     kind = "array<struct<top:int,left:int,bottom:int,right:int>>"

@@ -271,3 +271,35 @@ def replayed_sessions(spark, sf_dir):
     """Events of each user as a session of reviews."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr("chr(97 + event_id % 5)").alias("e"))
     return C.replayed(events, ["user_id"], ["ts", "event_id"], "e", "open", _MOVES)
+
+
+@query(
+    "review_pack_problems",
+    """WITH p AS (SELECT o_orderkey AS i, o_custkey AS sha, o_custkey % 40 + 10 AS w, o_custkey % 30 + 10 AS h, CAST(o_orderkey % 4 AS INT) AS masks FROM orders WHERE o_orderkey % 23 <> 0),
+    d AS (SELECT o_orderkey AS i, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_custkey END AS sha, o_custkey % 40 + CASE WHEN o_orderkey % 13 = 0 THEN 11 ELSE 10 END AS w, o_custkey % 30 + 10 AS h,
+    CASE WHEN o_orderkey % 29 = 0 THEN 9 ELSE o_orderkey % 4 END AS masks, o_custkey % 1000 AS pixels FROM orders WHERE o_orderkey % 17 <> 0),
+    l AS (SELECT l_orderkey AS i, l_linenumber + CASE WHEN l_orderkey % 19 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN l_orderkey % 31 = 0 AND l_linenumber = 2 THEN 0 ELSE o_custkey END AS sha, l_orderkey * 8 + CASE WHEN l_orderkey % 37 = 0 THEN 0 ELSE l_linenumber END AS id
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    g AS (SELECT i, count(*) AS c, count(DISTINCT n) AS orders, min(n) AS first, max(n) AS last, min(sha) AS least, max(sha) AS most FROM l GROUP BY i)
+    SELECT CAST(i AS VARCHAR) AS subject, 'no_prediction' AS problem FROM d WHERE i NOT IN (SELECT i FROM p) UNION ALL SELECT CAST(i AS VARCHAR), 'unknown_page' FROM g WHERE i NOT IN (SELECT i FROM p)
+    UNION ALL SELECT CAST(i AS VARCHAR), 'no_renderer' FROM p WHERE i NOT IN (SELECT i FROM d) UNION ALL SELECT CAST(p.i AS VARCHAR), 'source_hash' FROM p JOIN d USING (i) WHERE p.sha <> d.sha
+    UNION ALL SELECT CAST(p.i AS VARCHAR), 'size' FROM p JOIN d USING (i) WHERE p.w <> d.w OR p.h <> d.h UNION ALL SELECT CAST(p.i AS VARCHAR), 'mask_count' FROM p JOIN d USING (i) WHERE p.masks <> d.masks
+    UNION ALL SELECT CAST(p.i AS VARCHAR), 'masked_pixels' FROM p JOIN d USING (i) WHERE pixels > p.w * p.h UNION ALL SELECT CAST(i AS VARCHAR), 'line_order' FROM g WHERE first <> 1 OR last <> c OR orders <> c
+    UNION ALL SELECT CAST(p.i AS VARCHAR), 'line_hash' FROM p JOIN g USING (i) WHERE least <> CAST(sha AS BIGINT) OR most <> CAST(sha AS BIGINT) UNION ALL SELECT CAST(id AS VARCHAR), 'repeated_line' FROM l GROUP BY id HAVING count(*) > 1""",
+)
+def review_pack_problems(spark, sf_dir):
+    """Orders as predicted pages and their masked images, order lines as their lines, with each binding broken somewhere."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    size = [(c % 40 + 10).alias("width"), (c % 30 + 10).alias("height")]
+    ids = F.transform(F.slice(F.array(*map(F.lit, range(4))), F.lit(1), (o % 4).cast("int")), lambda k: F.concat_ws("-", o.cast("string"), k.cast("string")))
+    predictions = orders.filter(o % 23 != 0).select(o.alias("image_id"), c.alias("image_sha256"), *size, ids.alias("candidates"))
+    renderers = orders.filter(o % 17 != 0).select(
+        o.alias("image_id"), F.when(o % 11 == 0, 0).otherwise(c).alias("source_image_sha256"), (c % 40 + F.when(o % 13 == 0, 11).otherwise(10)).alias("width"), size[1],
+        F.when(o % 29 == 0, 9).otherwise(o % 4).cast("int").alias("mask_count"), (c % 1000).alias("masked_pixel_count"),
+    )
+    n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").join(orders, "o_orderkey").select(
+        o.alias("page_id"), (o * 8 + F.when(o % 37 == 0, 0).otherwise(n)).alias("line_id"), (n + F.when(o % 19 == 0, 1).otherwise(0)).alias("order"), F.when((o % 31 == 0) & (n == 2), 0).otherwise(c).alias("source_master_sha256"),
+    )
+    return C.review_pack_problems(predictions, renderers, lines)

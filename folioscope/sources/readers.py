@@ -87,6 +87,24 @@ def ocr_results(spark: SparkSession, path: str) -> DataFrame:
     return out.join(names, "source_name").withColumn(BAD, F.when(F.col("files") > 1, F.lit("in several files"))).drop("files")
 
 
+def markdown_results(spark: SparkSession, root: str) -> DataFrame:
+    """Results as a text and a metadata file for each image (<stem>/<stem>.md, <stem>/<stem>_metadata.json), one row for each stem.
+
+    (document_id, page_number, text, page, token_count, chunk_count, _bad); a missing file or another number of pages than one is bad.
+    Spark's listing passes over empty files: an empty text file is bad as a missing one is, where other readers would take a blank page.
+    """
+    reader = lambda suffix: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
+    stem = lambda suffix: F.substring_index(F.substring_index("path", "/", -1), suffix, 1).alias("document_id")
+    content = F.col("content").cast("string")
+    texts = reader(".md").select(stem(".md"), F.regexp_replace(F.make_valid_utf8(content), r"(?U)^\s+|\s+$", "").alias("text"), F.is_valid_utf8(content).alias("valid"))
+    shape = "num_pages int, pages array<string>, total_token_count long, total_chunks long"
+    known = reader("_metadata.json").select(stem("_metadata.json"), F.from_json(content, shape).alias("m"))
+    one_page = F.coalesce("m.num_pages", F.lit(0)) == 1
+    bad = F.when(F.col("text").isNull(), "no text").when(~F.col("valid"), "not UTF-8").when(F.col("m").isNull(), "no metadata").when(~one_page, "not one page")
+    joined = texts.join(known, "document_id", "full_outer")
+    return joined.select("document_id", F.lit(1).alias("page_number"), "text", F.get("m.pages", F.lit(0)).alias("page"), F.col("m.total_token_count").alias("token_count"), F.col("m.total_chunks").alias("chunk_count"), bad.alias(BAD))
+
+
 def parallel_blocks(df: DataFrame, text: str = "text", **lists: str) -> DataFrame:
     """Rows that hold parallel arrays as an array of structs; blank texts go."""
     zipped = F.arrays_zip(F.col(text), *(F.col(c) for c in lists.values()))
